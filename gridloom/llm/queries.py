@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import op5_exact
+from . import op3_superminhash, op5_exact, op8_quality
 
 QUERIES = {
+    "op3_superminhash": op3_superminhash.op3_superminhash,
     "op5_tree_merge_dedup": op5_exact.op5_tree_merge_dedup,
+    "op8_decision_lists": op8_quality.op8_decision_lists,
 }
 
 ORACLES = {
