@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import op3_superminhash, op5_exact, op8_quality
+from . import op3_superminhash, op4_dac, op5_exact, op6_mixing, op7_packing, op8_quality
 
 QUERIES = {
     "op3_superminhash": op3_superminhash.op3_superminhash,
+    "op4_addressable_codes": op4_dac.op4_addressable_codes,
     "op5_tree_merge_dedup": op5_exact.op5_tree_merge_dedup,
+    "op6_temperature_mixing": op6_mixing.op6_temperature_mixing,
+    "op7_multi_length_packing": op7_packing.op7_multi_length_packing,
     "op8_decision_lists": op8_quality.op8_decision_lists,
 }
 
