@@ -117,8 +117,8 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, hot: int = 5
     return a.select(*rows.columns, *(F.coalesce(f"__gl_h_{c}", c).alias(c) for c in cols))
 
 
-def range_shards(df: DataFrame, key: str, weight: Column, target: int, least: int = 1, bins: int = 2048, rounds: int = 4) -> tuple[DataFrame, int]:
-    """Adds __gl_shard: key ranges in ascending order of about `target` weight each (nulls come first), the same for the same rows.
+def range_shards(df: DataFrame, key: str, weight: Column, target: int, least: int = 1, bins: int = 2048, rounds: int = 4) -> tuple[Column, int]:
+    """Shard numbers (a column over key) and how many: ascending key ranges of about `target` weight each (null is in shard 0), the same for the same rows.
 
     Range cuts come from exact histograms of `bins` bins over the key, refined where a bin is heavy; the driver sees only bins.
     Integer keys only. A single key value is never cut.
@@ -126,35 +126,26 @@ def range_shards(df: DataFrame, key: str, weight: Column, target: int, least: in
     spans = df.agg(F.min(key), F.max(key), F.sum(weight)).first()
     lo, hi, total = spans[0], spans[1], int(spans[2] or 0)
     if lo is None:
-        return df.withColumn("__gl_shard", F.lit(0)), 1
+        return F.lit(0), 1
     target = max(1, min(target, total // least + 1))
-    cells: list[tuple[int, int, int]] = [(lo, hi, total)]
+    cells: list[tuple[int, int, int]] = [(lo, hi, total)]  # first key, last key, weight
     for _ in range(rounds):
-        heavy = [c for c in cells if c[2] > target // 4 and c[1] > c[0]]
+        heavy = sorted((c for c in cells if 4 * c[2] > target and c[0] < c[1]), key=lambda c: (-c[2], c[0]))[: bins // 2]
         if not heavy:
             break
-        per = max(2, bins // len(heavy))
-        heavy = sorted(heavy, key=lambda c: -c[2])[: bins // 2]
-        edges = sorted({e for a, b, _ in heavy for e in (a + (b - a + 1) * i // per for i in range(per)) if a <= e <= b} | {b + 1 for _, b, _ in heavy})
-        kept = [c for c in cells if c not in set(heavy)]
-        where = _slot(F.col(key), edges)
-        got = {r[0]: int(r[1] or 0) for r in df.filter(F.col(key).isNotNull()).groupBy(where.alias("s")).agg(F.sum(weight)).collect() if r[0] is not None}
-        starts = {a for a, _, _ in heavy}
-        spansof = []
-        for i in range(len(edges) - 1):
-            a, b = edges[i], edges[i + 1] - 1
-            if got.get(i + 1) and any(h[0] <= a <= h[1] for h in heavy):
-                spansof.append((a, b, got[i + 1]))
-        cells = sorted(kept + spansof)
-        if len(heavy) == len([c for c in cells if c[2] > target // 4]) and all(c[0] == c[1] for c in heavy) or not starts:
-            break
+        per = bins // len(heavy)
+        edges = sorted({a + (b - a + 1) * i // per for a, b, _ in heavy for i in range(per)} | {b + 1 for _, b, _ in heavy})
+        sums = {r[0]: int(r[1] or 0) for r in df.filter(F.col(key).isNotNull()).groupBy(_slot(F.col(key), edges).alias("s")).agg(F.sum(weight)).collect()}
+        inside = lambda x: any(a <= x <= b for a, b, _ in heavy)  # noqa: B023, E731
+        split = [(a, b - 1, sums[i + 1]) for i, (a, b) in enumerate(zip(edges, edges[1:])) if sums.get(i + 1) and inside(a)]
+        cells = [c for c in cells if c not in heavy] + split
     cuts, run = [], 0
     for a, _, w in sorted(cells):
         if run and run + w > target:
             cuts.append(a)
             run = 0
         run += w
-    return df.withColumn("__gl_shard", F.coalesce(_slot(F.col(key), cuts), F.lit(0))), len(cuts) + 1
+    return F.coalesce(_slot(F.col(key), cuts), F.lit(0)), len(cuts) + 1
 
 
 def _slot(key: Column, edges: list[int]) -> Column:

@@ -123,8 +123,8 @@ def write_ids(docs: DataFrame, to: str, tokenizer: str, end_id: int, text: str =
     bytes. What counts is the manifest: files that it doesn't list are no part of the table.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows, n = range_shards(rows, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16, shard_bytes, least_shards)
-    sorted_rows = rows.repartitionById(n, F.col("__gl_shard").cast("int")).sortWithinPartitions("__gl_shard", "doc_id", "text")
+    shard_of, n = range_shards(rows, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16, shard_bytes, least_shards)
+    sorted_rows = rows.withColumn("__gl_shard", shard_of).repartitionById(n, F.col("__gl_shard").cast("int")).sortWithinPartitions("__gl_shard", "doc_id", "text")
     end = int(end_id).to_bytes(4, "little")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

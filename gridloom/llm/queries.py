@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import op3_superminhash, op4_dac, op5_exact, op6_mixing, op7_packing, op8_quality
+from . import op1_langid, op2_warc, op3_superminhash, op4_dac, op5_exact, op6_mixing, op7_packing, op8_quality
 
 QUERIES = {
+    "op1_error_correcting_codes": op1_langid.op1_error_correcting_codes,
+    "op2_sharded_warc": op2_warc.op2_sharded_warc,
     "op3_superminhash": op3_superminhash.op3_superminhash,
     "op4_addressable_codes": op4_dac.op4_addressable_codes,
     "op5_tree_merge_dedup": op5_exact.op5_tree_merge_dedup,
@@ -14,5 +16,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_sharded_warc": op2_warc.ORACLE,
     "op5_tree_merge_dedup": op5_exact.ORACLE,
 }
