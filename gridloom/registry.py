@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import grid_queries, raster_queries  # noqa: F401
+from .plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
