@@ -100,7 +100,7 @@ def cell_methods(text: Column) -> Column:
     pattern = r"((?:\w+:\s*)+)(\w+)((?:\s+(?:where|over|within)\s+\w+)*)"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     opt = lambda s, k: F.nullif(F.regexp_extract(s, rf"\b{k}\s+(\w+)", 1), F.lit(""))
-    return F.transform(found, lambda s: F.struct(F.regexp_replace(F.trim(F.regexp_extract(s, pattern, 1)), r":\s*", " ").alias("dims"), F.regexp_extract(s, pattern, 2).alias("method"), opt(s, "where").alias("where"), opt(s, "over").alias("over")))
+    return F.transform(found, lambda s: F.struct(F.trim(F.regexp_replace(F.regexp_extract(s, pattern, 1), r":\s*", " ")).alias("dims"), F.regexp_extract(s, pattern, 2).alias("method"), opt(s, "where").alias("where"), opt(s, "over").alias("over")))
 
 
 def flags(value: Column, values: Column, meanings: Column, masks: Column) -> Column:
