@@ -72,7 +72,7 @@ def bisect_alpha(tokens: dict[str, int], entropy_share: float | None = None, mos
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n = np.array([len((t or b"").split()) for t in b.column("text").cast(pa.binary()).to_pylist()], np.int64)
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "name", FILE, ROW)), pa.array(n)], names=["doc_id", "name", FILE, ROW, "n_tokens"])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "name", "content", FILE, ROW)), pa.array(n)], names=["doc_id", "name", "content", FILE, ROW, "n_tokens"])
 
 
 def mix(docs: DataFrame, entropy_share: float | None = None, most_epochs: float | None = None, budget: int | str | None = None, seed: int = 17, block_tokens: int = 1_000_000, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> tuple[DataFrame, float]:
@@ -84,8 +84,8 @@ def mix(docs: DataFrame, entropy_share: float | None = None, most_epochs: float
     source, come to the driver. An empty table gives an empty result.
     """
     rows = with_address(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source")))
-    named = rows.select("doc_id", "text", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("name"), FILE, ROW)
-    counted = materialize(named.mapInArrow(_words, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, name string, {FILE} long, {ROW} long, n_tokens long"), "counted")
+    named = rows.select("doc_id", "text", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("name"), F.xxhash64("doc_id", "text").alias("content"), FILE, ROW)
+    counted = materialize(named.mapInArrow(_words, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, name string, content long, {FILE} long, {ROW} long, n_tokens long"), "counted")
     tokens = {r[0]: int(r[1]) for r in counted.groupBy("name").agg(F.sum("n_tokens")).collect()}
     alpha = bisect_alpha(tokens, entropy_share, most_epochs, budget)
     w = weights(tokens, alpha)
@@ -100,7 +100,7 @@ def mix(docs: DataFrame, entropy_share: float | None = None, most_epochs: float
     plan_df = spark.createDataFrame(plan, "name string, source_weight double, source_epochs double, whole long, rest double, blocks long")
     small = len(plan) <= 10_000  # else by shuffle
     drawn = counted.join(F.broadcast(plan_df) if small else plan_df, "name")
-    drawn = drawn.withColumn("place", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(FILE), F.col(ROW)))
+    drawn = drawn.withColumn("place", F.xxhash64(F.lit(seed), "content"))  # not by file: the same rows give the same draw wherever they lie
     drawn = drawn.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "place"), F.col("blocks")))
     sums = drawn.filter("rest > 0").groupBy("name", "block", "rest").agg(F.sum("n_tokens").alias("tokens"))
     order = Window.partitionBy("name").orderBy(F.xxhash64(F.lit(seed), "name", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
