@@ -12,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.utils import AnalysisException
 
 FILE, ROW = "__gl_file", "__gl_row"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,16 +71,27 @@ def publish(fs: pafs.FileSystem, temporary: str, final: str) -> None:
         fs.delete_file(temporary)
 
 
+PLAIN_NODES = ("Project", "Filter", "Relation", "SubqueryAlias", "View")
+
+
+def plain_read(df: DataFrame) -> bool:
+    """Whether df is columns and filters over a Parquet read: then its rows have addresses, and every evaluation gives the same ones."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    nodes = [line.lstrip(" :+-|") for line in plan.splitlines() if line.strip()]
+    return all(n.startswith(PLAIN_NODES) for n in nodes) and sum(n.startswith("Relation") and n.endswith("parquet") for n in nodes) == 1
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df itself if it is a plain read, else a stored copy."""
+    return df if plain_read(df) else materialize(df, "stored")
+
+
 def with_address(df: DataFrame) -> DataFrame:
     """Adds __gl_file and __gl_row, which tell every row from every other, equal rows too, and stay the same on each read.
 
     They come from Parquet's row index; a DataFrame that isn't a plain Parquet read is written to the shared folder first.
     """
-    try:
-        return df.select("*", F.xxhash64(F.col("_metadata.file_path")).alias(FILE), F.col("_metadata.row_index").alias(ROW))
-    except AnalysisException:
-        df = materialize(df, "addressed")
-        return df.select("*", F.xxhash64(F.col("_metadata.file_path")).alias(FILE), F.col("_metadata.row_index").alias(ROW))
+    return stored(df).select("*", F.xxhash64(F.col("_metadata.file_path")).alias(FILE), F.col("_metadata.row_index").alias(ROW))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -120,14 +130,15 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, hot: int = 5
 def range_shards(df: DataFrame, key: str, weight: Column, target: int, least: int = 1, bins: int = 2048, rounds: int = 4) -> tuple[Column, int]:
     """Shard numbers (a column over key) and how many: ascending key ranges of about `target` weight each (null is in shard 0), the same for the same rows.
 
-    Range cuts come from exact histograms of `bins` bins over the key, refined where a bin is heavy; the driver sees only bins.
+    Range cuts come from exact histograms over the key (`bins` bins, four a shard at least), refined where a bin is heavy; the driver sees only bins.
     Integer keys only. A single key value is never cut.
     """
     spans = df.agg(F.min(key), F.max(key), F.sum(weight)).first()
     lo, hi, total = spans[0], spans[1], int(spans[2] or 0)
     if lo is None:
         return F.lit(0), 1
-    target = max(1, min(target, total // least + 1))
+    target = max(1, min(target, total // least + 1), total // 50_000)  # at most some 50,000 shards
+    bins = max(bins, 4 * (total // target + 1))
     cells: list[tuple[int, int, int]] = [(lo, hi, total)]  # first key, last key, weight
     for _ in range(rounds):
         heavy = sorted((c for c in cells if 4 * c[2] > target and c[0] < c[1]), key=lambda c: (-c[2], c[0]))[: bins // 2]

@@ -20,8 +20,8 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import FILE, ROW, attach, filesystem, materialize, publish, range_shards, scratch, with_address
-from .op5_exact import _stored, digest_key
+from .common import FILE, ROW, attach, filesystem, materialize, publish, range_shards, scratch, stored, with_address
+from .op5_exact import digest_key
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPACE = uuid.UUID("6a1f2b54-93f1-5d0c-9a57-0f3c1d7be1d2")
@@ -96,7 +96,7 @@ def write_warc(pages: DataFrame, to: str, least_revisit: int = 1000, roll_bytes:
     the response; repeated rows with that id are all responses. Rows with a null page id are responses, sort first and are referred to by none.
     Rows with equal ids are in the order of a hash of url and html. Other columns are not read.
     """
-    pages = _stored(pages)
+    pages = stored(pages)
     rows = with_address(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")))
     size = F.octet_length("html").cast("long")
     thin = rows.select("page_id", "url", FILE, ROW, F.xxhash64("url", "html").alias("tie"), size.alias("size"), F.when(size >= least_revisit, digest_key(F.col("html"))).alias("key"))

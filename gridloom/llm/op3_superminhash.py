@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import FILE, ROW, attach, groups_of, materialize, with_address
+from .common import FILE, ROW, attach, groups_of, materialize, stored, with_address
 
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
@@ -303,9 +303,7 @@ def _texts(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs of which one stays per group, with all their columns; blank texts all stay."""
-    from .op5_exact import _stored
-
-    docs = _stored(docs)
+    docs = stored(docs)
     gone = near_groups(docs, text, doc_id).filter(~F.col("kept_row")).select(FILE, ROW)
     return with_address(docs).join(gone, [FILE, ROW], "left_anti").select(*docs.columns)
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import FILE, ROW, ascii_lower, attach, materialize, with_address
+from .common import FILE, ROW, ascii_lower, attach, materialize, stored, with_address
 
 KEY = "__gl_key48"
 
@@ -63,22 +63,11 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "max") -> DataFrame:
     """The rows of docs that stay, with all their columns; see exact_groups."""
-    docs = _stored(docs)
+    docs = stored(docs)
     gone = exact_groups(docs, text, doc_id, keep).filter(~F.col("kept")).select(FILE, ROW)
     return with_address(docs).join(gone, [FILE, ROW], "left_anti").select(*docs.columns)
 
 
-def _stored(docs: DataFrame) -> DataFrame:
-    """docs itself if it is a plain Parquet read, else a stored copy, so that addresses agree between reads."""
-    from pyspark.sql.utils import AnalysisException
-
-    try:
-        docs.select("_metadata.row_index")
-        return docs
-    except AnalysisException:
-        return materialize(docs, "docs")
-
-
 def op5_tree_merge_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop(FILE, ROW)
 

@@ -16,8 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import FILE, ROW, materialize, with_address
-from .op5_exact import _stored
+from .common import FILE, ROW, materialize, stored, with_address
 
 
 def weights(tokens: dict[str, int], alpha: float) -> dict[str, float]:
@@ -125,7 +124,7 @@ def mix(docs: DataFrame, entropy_share: float | None = None, most_epochs: float
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """docs with every row as often as mix() says, with all their columns."""
-    docs = _stored(docs)
+    docs = stored(docs)
     copies = mix(docs, **how)[0].select(FILE, ROW, F.col("copies").alias("__gl_copies")).filter("__gl_copies != 1")
     rows = with_address(docs).join(copies, [FILE, ROW], "left").withColumn("__gl_copies", F.coalesce("__gl_copies", F.lit(1).cast("long")))
     return rows.withColumn("__gl_copy", F.explode(F.array_repeat(F.lit(0), F.col("__gl_copies").cast("int")))).select(*docs.columns)
