@@ -73,7 +73,7 @@ class Cube:
 
     def sel(self, coords: DataFrame | None = None, value=None, values: list | None = None, start=None, stop=None) -> "Cube":
         """Steps by coordinate: one value, a list, or the closed range start .. stop. coords: t, coord (default: t itself)."""
-        df = self.df if coords is None else self.df.join(F.broadcast(coords), "t")
+        df = self.df if coords is None else self.df.join(coords, "t")
         c = F.col("t") if coords is None else F.col("coord")
         if values is not None:
             hit = c.isin(values)
