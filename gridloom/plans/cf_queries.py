@@ -288,3 +288,99 @@ def _(d: Tables):
     from ..streaming.ingest import daily_totals
 
     return daily_totals(d.spark, d.dir).withColumn("total", rnd("total", 4))
+
+
+@query("g030_netcdf_round_trip", "SELECT t.t, r AS \"row\", c AS col, v AS value FROM (SELECT DISTINCT t FROM cube WHERE t < 6) t CROSS JOIN (SELECT DISTINCT r, c FROM cube) LEFT JOIN cube USING (t, r, c)")
+def _(d: Tables):
+    from ..sources import netcdf3
+
+    to = scratch(d, "netcdf")
+    netcdf3.write(d.cube.steps(0, 6), to, 6)
+    return netcdf3.read(d.spark, to, "value").df.select("t", "row", "col", "value")
+
+
+@query("g003_archive_members", "SELECT * FROM (VALUES (0, 'a.txt', 'first'), (1, 'd/b.txt', 'second')) t(i, name, text)")
+def _(d: Tables):
+    import io
+    import zipfile
+
+    from ..sources import archives
+
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("a.txt", "first")
+        z.writestr("d/b.txt", "second")
+    rows = [(i, n, c.decode()) for i, (n, c) in enumerate(archives.members(raw.getvalue()))]
+    return when(d, rows, "i int, name string, text string")
+
+
+META_ROWS = "SELECT * FROM (VALUES ('lat', 'double', ['lat'], 'degrees_north'), ('rain', 'float', ['time', 'lat'], 'mm')) t(name, dtype, dims, unit)"
+
+
+def model():
+    from ..functions.metadata import Dimension, Metadata, VariableInfo
+
+    return Metadata("netcdf3", {"title": "x"}, [Dimension("time", 2), Dimension("lat", 3)], [VariableInfo("lat", "double", ["lat"], unit="degrees_north"), VariableInfo("rain", "float", ["time", "lat"], unit="mm")])
+
+
+@query("g308_metadata_json", META_ROWS)
+def _(d: Tables):
+    from ..functions.metadata import Metadata
+
+    return Metadata.from_json(model().to_json()).table(d.spark).select("name", "dtype", "dims", "unit")
+
+
+@query("g306_to_dict", "SELECT 'netcdf3' AS driver, 2 AS dims, 2 AS variables")
+def _(d: Tables):
+    x = model().to_dict()
+    return when(d, [(x["driver"], len(x["dimensions"]), len(x["variables"]))], "driver string, dims int, variables int")
+
+
+@query("g311_set_attribute", "SELECT * FROM (VALUES ('title', 'new'), ('source', 'y')) t(name, value)")
+def _(d: Tables):
+    from ..functions.metadata import set_attribute
+
+    return when(d, [({"title": "x", "source": "y"},)], f"attrs {M}").select(F.explode(set_attribute(F.col("attrs"), "title", "new")).alias("name", "value"))
+
+
+@query("g312_delete_attribute", "SELECT 'source' AS name, 'y' AS value")
+def _(d: Tables):
+    from ..functions.metadata import delete_attribute
+
+    return when(d, [({"title": "x", "source": "y"},)], f"attrs {M}").select(F.explode(delete_attribute(delete_attribute(F.col("attrs"), "title"), "none")).alias("name", "value"))
+
+
+@query("g122_fitting_nodata", "SELECT * FROM (VALUES ('uint8', 255.0::DOUBLE, 255.0::DOUBLE), ('int16', -9999, -9999), ('float64', -9999, 1e9), ('int8', 127, 127)) t(dtype, unset, far)")
+def _(d: Tables):
+    from ..functions.metadata import fitting_nodata
+
+    return when(d, [(t, float(fitting_nodata(None if t != "int8" else 1e9, t)), float(fitting_nodata(1e9 if t != "int16" else -9999, t))) for t in ("uint8", "int16", "float64", "int8")], "dtype string, unset double, far double")
+
+
+@query("g026_from_features", "SELECT zid, name FROM zones")
+def _(d: Tables):
+    return d.zones.select(F.col("zone").alias("zid"), "name")
+
+
+@query("g027_from_records", "SELECT 1 AS id, 2.5e0 AS x, 3.5e0 AS y")
+def _(d: Tables):
+    from ..functions.geometry import GEOM
+    from ..operators.vector import from_records
+
+    f = from_records(d.spark, [{"id": 1, "geom": {"type": "Point", "parts": [[{"x": 2.5, "y": 3.5}]]}}], f"id int, geom {GEOM}")
+    p = F.col("geom.parts")[0][0]
+    return f.select("id", p["x"].alias("x"), p["y"].alias("y"))
+
+
+@query("g031_open_mfdataset", "SELECT t, r AS \"row\", c AS col, v AS value FROM cube WHERE t < 3 UNION ALL SELECT t + 3, r, c, v * 2 FROM cube WHERE t < 3")
+def _(d: Tables):
+    import os
+
+    from ..operators.cube import Cube
+    from ..sources import tables
+
+    to = scratch(d, "parts")
+    tables.write_cube(d.cube.steps(0, 3), f"{to}/a")
+    double = d.cube.df.withColumn("value", F.col("value") * 2)
+    tables.write_cube(Cube(double, d.cube.meta).steps(0, 3), f"{to}/b")
+    return tables.read_cubes(d.spark, [os.path.join(to, "a"), os.path.join(to, "b")], steps=3).df.select("t", "row", "col", "value")

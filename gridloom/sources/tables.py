@@ -67,3 +67,13 @@ def write_mesh(mesh: Mesh, path: str, mode: str = "error") -> None:
 def read_mesh(spark: SparkSession, path: str, with_values: bool = False) -> Mesh:
     values = spark.read.parquet(f"{path}/values") if with_values else None
     return Mesh(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/faces"), values)
+
+
+def read_cubes(spark: SparkSession, paths: list[str], steps: int, preprocess=None) -> Cube:
+    """Cubes of `steps` steps each, one after the other along time; preprocess is applied to each."""
+    from functools import reduce
+
+    parts = [read_cube(spark, p) for p in paths]
+    parts = [preprocess(p) for p in parts] if preprocess else parts
+    dfs = [p.df.withColumn("t", (F.col("t") + i * steps).cast("int")) for i, p in enumerate(parts)]
+    return Cube(reduce(DataFrame.unionByName, dfs), parts[0].meta)
