@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import cf_queries, grid_queries, raster_queries, vector_queries  # noqa: F401
+from .plans import cf_queries, grid_queries, more_queries, raster_queries, vector_queries  # noqa: F401
 from .plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
