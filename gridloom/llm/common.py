@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 FILE, ROW = "__gl_file", "__gl_row"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _own_dir: str | None = None
+_made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,8 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; it is deleted when the driver's program ends, if its session still runs then."""
+    path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean)
+    _made.append((spark, path))
+    return path
+
+
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            drop_path(spark, path)
+        except Exception:  # noqa: BLE001  # the session has ended, or the store is gone: nothing more can be done at exit
+            return
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

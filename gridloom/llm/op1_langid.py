@@ -100,12 +100,14 @@ class Model:
 
 
 def train(features: np.ndarray, label: np.ndarray, languages: list[str], steps: int = 250, decay: float = 1e-4) -> Model:
-    """features: n-gram shares (rows x DIM), label: numbers of languages. Full-batch Adam: equal inputs give equal models."""
+    """features: n-gram shares (rows x DIM, overwritten), label: numbers of languages. Full-batch Adam: equal inputs give equal models."""
     code = code_book(len(languages))
     if not code.shape[1]:
         return Model(languages, code, np.zeros((DIM, 0)), np.zeros(0), np.ones((len(languages), 0)))
-    mean, spread = features.mean(0), features.std(0) + 1e-4
-    x = (features - mean) / spread
+    x, mean = features, features.mean(0)  # in place: the table is the driver's largest array
+    spread = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x) / len(x) - mean**2, 0)) + 1e-4
+    x -= mean
+    x /= spread
     np.clip(x, -4, 4, out=x)
     target = code[label].astype(np.float32)
     share = np.bincount(label, minlength=len(languages))[label]
@@ -162,7 +164,9 @@ def fit(docs: DataFrame, sample_rows: int = 1200, text: str = "text", lang: str
     x = np.zeros((len(got), DIM), np.float32)
     for i, (k, v) in enumerate(zip(got["idx"], got["val"])):
         x[i, np.frombuffer(k, np.uint16)] = np.frombuffer(v, np.float32)
-    return train(x, np.array([languages.index(l) for l in got["lang"]], int), languages)
+    label = np.array([languages.index(l) for l in got["lang"]], int)
+    del got
+    return train(x, label, languages)
 
 
 def held_out(doc_id: str) -> F.Column:
