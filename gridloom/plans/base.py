@@ -43,7 +43,7 @@ node_values AS (SELECT node_id, ROUND(x * 3 + y * y, 6) AS v FROM nodes)
 def rnd(value, digits: int):
     """Rounded, a little away from ties: sums in another order then give the same digits. nudged() does the same to SQL."""
     c = F.col(value) if isinstance(value, str) else value
-    return F.round(c + F.lit(10.0 ** -(digits + 3)), digits)
+    return F.round(c + F.lit(float(f"3.7e-{digits + 3}")), digits)
 
 
 def nudged(sql: str) -> str:
@@ -56,7 +56,7 @@ def nudged(sql: str) -> str:
             depth += {"(": 1, ")": -1}.get(sql[i], 0)
             i += 1
         inner, _, digits = sql[m.end() : i - 1].rpartition(",")
-        out += f"{sql[at : m.start()]}ROUND(({nudged(inner)}) + 1e-{int(digits) + 3}, {int(digits)})"
+        out += f"{sql[at : m.start()]}ROUND(({nudged(inner)}) + 3.7e-{int(digits) + 3}, {int(digits)})"
         at = i
     return out + sql[at:]
 
