@@ -14,6 +14,7 @@ minimum labels with pointer jumping. With 32 bands of 5 rows a pair of similarit
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -99,10 +100,10 @@ def short_signature(h: np.ndarray) -> np.ndarray:
     return (mix(h) >> np.uint64(48)).astype(np.uint16)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for b in batches:
-        sets = [shingles(t or b"", hashes) for t in b.column("text").cast(pa.binary()).to_pylist()]
+        sets = [shingles(t or b"", hashes, size) for t in b.column("text").cast(pa.binary()).to_pylist()]
         prints, new, number = [], [], {}
         for s in sets:  # equal sets of a batch are signed once
             f = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
@@ -136,7 +137,7 @@ def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for b in batches:
         held: dict[bytes, np.ndarray] = {}
@@ -145,7 +146,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fa, ta, fb, tb in zip(*(b.column(c).to_pylist() for c in ("a", "text_a", "b", "text_b"))):
             for f, t in ((fa, ta), (fb, tb)):
                 if f not in held:
-                    held[f] = shingles(t or b"", hashes)
+                    held[f] = shingles(t or b"", hashes, size)
             x, y = held[fa], held[fb]
             keep.append(similar(x, y))
         texts.clear()
@@ -162,10 +163,10 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int = 80) -> bool:
     return 100 * inter >= percent * (len(x) + len(y) - inter)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, size: int = 2) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar; texts: fp, text of one member of each class."""
     both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "text_a", "b", "text_b").mapInArrow(_verify, "a binary, b binary")
+    return both.select("a", "text_a", "b", "text_b").mapInArrow(partial(_verify, size=size), "a binary, b binary")
 
 
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,16 +230,16 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.binary()), pa.array([p[1] for p in out], pa.binary())], names=["a", "b"])
 
 
-def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept, and the row's address (__gl_file, __gl_row).
 
-    Documents are linked if 100 * |A & B| >= 80 * |A | B| of their sets of 2-word shingles; component_id is the least doc_id that links
+    Documents are linked if 100 * |A & B| >= 80 * |A | B| of their sets of shingles of size words; component_id is the least doc_id that links
     reach. Null or blank texts have an empty set and are linked with nothing: component_id is the own doc_id. Rows of equal texts are
     one class. kept is doc_id = component_id (two nulls count as equal); null ids lose to any other, and a component of null ids only
     has component_id null. kept_row tells one kept row per component even where a doc_id is repeated. Other columns are not read.
     """
     rows = with_address(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    signed = materialize(rows.select("doc_id", "text", FILE, ROW).mapInArrow(_sign, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {FILE} long, {ROW} long, n_shingles long, fp binary, sig binary"), "signed")
+    signed = materialize(rows.select("doc_id", "text", FILE, ROW).mapInArrow(partial(_sign, size=size), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {FILE} long, {ROW} long, n_shingles long, fp binary, sig binary"), "signed")
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col(FILE).alias("file"), F.col(ROW).alias("row"))
     classes = materialize(signed.filter(F.col("fp").isNotNull()).groupBy("fp").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("members"), F.max("sig").alias("sig")), "classes")
 
@@ -254,7 +255,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     stars = materialize(close(members.filter(F.col("fp") != F.col("hub")).select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()), "stars")
     named = members.select("fp").distinct()
     texts = materialize(_texts(rows, classes.join(named, "fp", "left_semi")), "texts")
-    links = materialize(verified(stars, texts), "star-links")
+    links = materialize(verified(stars, texts, size), "star-links")
     first = components(links)
 
     held = members.join(first.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -268,7 +269,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     spread = open_rows.withColumn("minor", minor).withColumn("block", F.explode(F.when(minor, F.sequence(F.lit(0), blocks - 1)).otherwise(one)))
     spread = spread.join(sigs, "fp").repartition("key", "block").sortWithinPartitions("key", "block").select("key", "block", "fp", "hub", "component", "minor", "sig")
     rest = materialize(spread.mapInArrow(_cross_pairs, "a binary, b binary").distinct(), "cross")
-    more = materialize(verified(rest, texts), "cross-links")
+    more = materialize(verified(rest, texts, size), "cross-links")
     final = components(links.unionByName(more)) if more.limit(1).count() else first
 
     group = classes.join(final.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -301,10 +302,10 @@ def _texts(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.select("text", FILE, ROW).join(wanted, [FILE, ROW]).select("fp", F.col("text").cast("binary").alias("text"))
 
 
-def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 2) -> DataFrame:
     """The rows of docs of which one stays per group, with all their columns; blank texts all stay."""
     docs = stored(docs)
-    gone = near_groups(docs, text, doc_id).filter(~F.col("kept_row")).select(FILE, ROW)
+    gone = near_groups(docs, text, doc_id, size).filter(~F.col("kept_row")).select(FILE, ROW)
     return with_address(docs).join(gone, [FILE, ROW], "left_anti").select(*docs.columns)
 
 

@@ -1,9 +1,15 @@
 """The pipeline's stages on the smallest tables."""
 
+import sys
+from pathlib import Path
+
 import corpus_pipeline
 from gridloom.llm.common import materialize
 from gridloom.llm.tokens import Encoder, path_of
 
+sys.path.insert(0, str(Path(__file__).parent))
+from brute import WORD, lower_az  # noqa: E402
+
 
 def test_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -29,3 +35,23 @@ def test_stages_on_an_empty_table(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, sf_dir), "t")
     assert docs.count() == 0
+
+
+def test_near_stage_takes_five_words(spark, sf_dir):
+    words = [f"w{i}" for i in range(60)]
+    edited = [w if i not in (12, 30, 48) else f"e{i}" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(words[:-1] + ["end"])), (4, "a b c"), (5, "A b c"), (6, ""), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    many = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    for table in (docs, many):
+        sets = {}
+        for r in table.collect():
+            w = WORD.findall(lower_az(r["text"] or ""))
+            sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        group = {i: i for i in sets}
+        for a in sorted(sets):
+            for b in sorted(sets):
+                if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    x, y = sorted((group[a], group[b]))
+                    group = {i: x if g == y else g for i, g in group.items()}
+        assert {r["doc_id"] for r in corpus_pipeline.near(spark, table, sf_dir).collect()} == {i for i, g in group.items() if i == g}
