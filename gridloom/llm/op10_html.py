@@ -2,9 +2,9 @@
 
 A page becomes blocks of text, each with what its place says: dropped (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, reader comments), main (inside an article, or main, element) or open (anything else). A page with main blocks gives these. For
-a page without, the open blocks decide: the token streams of a host's pages (in chunks of bounded size, by a hash of the page) are
-concatenated, a suffix array finds long runs of tokens that occur in several distinct pages, blocks that such runs cover are boilerplate, and
-the unique ones stay. Text inside an article is never taken away for being repeated: mirrored pages and quoted passages are content.
+a page without, the open blocks decide: the token streams of a host's pages (in chunks of bounded size, by a hash of the blocks) are
+concatenated, a suffix array finds the runs of tokens of each chunk, their distinct pages are added up over the chunks of the host, blocks
+that runs of several pages cover are boilerplate, and the unique ones stay. Text inside an article is never taken away for being repeated: mirrored pages and quoted passages are content.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import FILE, ROW, attach, groups_of, materialize, with_address
+from .op3_superminhash import GOLDEN, WordHashes, mix
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title template noscript iframe svg math".split())
@@ -43,6 +44,8 @@ ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"
 WORDS = re.compile(r"[a-z]+")
 SEPARATOR = "\x00"
 CHUNK_PAGES = 512
+#: Tokens of a run, and distinct pages of a host from which on it is boilerplate, however many pages the host has.
+RUN, LEAST_PAGES = 6, 3
 
 
 def _dropped(name: str, attrs: str, in_main: bool) -> bool:
@@ -200,22 +203,35 @@ def repeated_tokens(streams: list[np.ndarray], run: int, pages: int) -> list[np.
     return [cover[e - 1 - n : e - 1] for e, n in zip(ends.tolist(), sizes.tolist())]
 
 
-def unique_blocks(pages: list[list[str]], run: int = 6, least_pages: int = 3, least_share: float = 0.1, covered: float = 0.8) -> list[list[str]]:
-    """The blocks of each page that repeated runs don't cover; tokens are words, with a mark between blocks."""
-    ids: dict[str, int] = {SEPARATOR: 1}
-    streams, spans = [], []
-    for blocks in pages:
-        x, at = [1], []
-        for b in blocks:
-            words = b.split()
-            at.append((len(x), len(x) + len(words)))
-            x += [ids.setdefault(w, len(ids) + 1) for w in words]
-            x.append(1)
-        streams.append(np.array(x, np.int64))
-        spans.append(at)
-    distinct = len({x.tobytes() for x in streams})
-    cover = repeated_tokens(streams, run, max(least_pages, int(np.ceil(least_share * distinct))))
-    return [[b for b, (s, e) in zip(blocks, at) if c[s:e].mean() < covered] for blocks, at, c in zip(pages, spans, cover)]
+def stream_of(blocks: list[str], hashes: WordHashes) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Hashes of a page's words with a mark between blocks, and the start and end of each block."""
+    x, at = [1], []
+    for b in blocks:
+        words = b.split()
+        at.append((len(x), len(x) + len(words)))
+        x += [hashes[w.encode()] for w in words]
+        x.append(1)
+    return np.array(x, np.uint64), at
+
+
+def run_hashes(x: np.ndarray, run: int = RUN) -> np.ndarray:
+    """A hash for each run of tokens."""
+    n = max(0, len(x) - run + 1)
+    h = np.full(n, run, np.uint64)
+    for i in range(run):
+        h = mix(h * GOLDEN + x[i : n + i])
+    return h
+
+
+def unique_blocks(blocks: list[str], often: np.ndarray, hashes: WordHashes, run: int = RUN, covered: float = 0.8) -> list[str]:
+    """The blocks of a page that runs of `often` don't cover."""
+    x, spans = stream_of(blocks, hashes)
+    at = np.flatnonzero(np.isin(run_hashes(x, run), often))
+    delta = np.zeros(len(x) + 1, np.int64)
+    np.add.at(delta, at, 1)
+    np.add.at(delta, at + run, -1)
+    cover = np.cumsum(delta)[: len(x)] > 0
+    return [b for b, (s, e) in zip(blocks, spans) if cover[s:e].mean() < covered]
 
 
 def host_of(url: str | None) -> str:
@@ -237,14 +253,42 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column(FILE), b.column(ROW), pa.array(hosts, pa.string()), pa.array(texts, pa.string()), pa.array(opens, pa.list_(pa.string()))], names=["page_id", "url", FILE, ROW, "host", "text", "open"])
 
 
-def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of a chunk of distinct pages, by a suffix array, and in how many of the pages each occurs."""
+    hashes = WordHashes()
     for t in groups_of(batches, ["host", "chunk"]):
-        need = np.array(t.column("need").to_pylist(), bool)
-        if not need.any():
+        streams = [stream_of(x, hashes)[0] for x in t.column("open").to_pylist()]
+        sizes = np.array([len(x) for x in streams])
+        s = np.concatenate([np.concatenate([x, np.zeros(1, np.uint64)]) for x in streams])  # a 0 ends each
+        owner = np.repeat(np.arange(len(streams)), sizes + 1)
+        rank = suffix_array(s, RUN)[1]
+        left = np.repeat(np.cumsum(sizes + 1) - 1, sizes + 1) - np.arange(len(s))
+        fits = np.flatnonzero(left >= RUN)
+        if not len(fits):
             continue
-        kept = unique_blocks(t.column("open").to_pylist())
-        t = t.combine_chunks().append_column("text", pa.array(["\n".join(k) for k in kept], pa.string())).filter(pa.array(need))
-        yield from t.select([FILE, ROW, "text"]).to_batches()
+        ranks, first = np.unique(rank[fits], return_index=True)
+        pages = np.bincount(np.unique(np.stack([rank[fits], owner[fits]], 1), axis=0)[:, 0])[ranks]
+        runs = run_hashes(s)[fits[first]]
+        n = len(runs)
+        yield pa.RecordBatch.from_arrays([pa.array([t.column("host")[0].as_py()] * n, pa.string()), pa.array(np.full(n, t.column("chunk")[0].as_py(), np.int64)), pa.array(runs.view(np.int64)), pa.array(pages.astype(np.int64))], names=["host", "chunk", "run", "pages"])
+
+
+def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of a chunk (kind 0) come right before its pages (kind 1)."""
+    hashes = WordHashes()
+    at, runs, often = None, [], np.empty(0, np.uint64)
+    for b in batches:
+        out = []
+        for host, chunk, kind, run, blocks, file, row in zip(*(b.column(c).to_pylist() for c in ("host", "chunk", "kind", "run", "open", FILE, ROW))):
+            if at != (host, chunk):
+                at, runs, often = (host, chunk), [], None
+            if kind == 0:
+                runs.append(run)
+                continue
+            if often is None:
+                often = np.array(runs, np.int64).view(np.uint64)
+            out.append((file, row, "\n".join(unique_blocks(blocks, often, hashes))))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.string())], names=[FILE, ROW, "text"])
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -261,9 +305,16 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     hosts = materialize(loose.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("any")), "hosts")
     chunks = F.ceil(F.coalesce("n", F.lit(1)) / CHUNK_PAGES).cast("long")
     placed = attach(loose, hosts, "host", "n", unique=F.xxhash64(FILE, ROW)).filter(F.coalesce("any", "need"))  # hosts that need no decision go no further
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64(FILE, ROW), chunks)).select("host", "chunk", "need", "open", FILE, ROW)
-    placed = placed.repartition("host", "chunk").sortWithinPartitions("host", "chunk", FILE, ROW)
-    found = placed.mapInArrow(_unique, f"{FILE} long, {ROW} long, text string")
+    # equal pages meet in one chunk, so that the chunks' counts add up
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("open"), chunks)).select("host", "chunk", "need", "open", FILE, ROW)
+    distinct = placed.select("host", "chunk", "open").distinct().repartition("host", "chunk").sortWithinPartitions("host", "chunk")
+    runs = materialize(distinct.mapInArrow(_runs, "host string, chunk long, run long, pages long"), "runs")
+    often = runs.groupBy("host", "run").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= LEAST_PAGES).select("host", "run")
+    none = lambda kind: F.lit(None).cast(kind)
+    both = runs.join(often, ["host", "run"]).select("host", "chunk", F.lit(0).alias("kind"), "run", none("array<string>").alias("open"), none("long").alias(FILE), none("long").alias(ROW))
+    both = both.unionByName(placed.filter("need").select("host", "chunk", F.lit(1).alias("kind"), none("long").alias("run"), "open", FILE, ROW))
+    both = both.repartition("host", "chunk").sortWithinPartitions("host", "chunk", "kind")
+    found = both.mapInArrow(_unique, f"{FILE} long, {ROW} long, text string")
     keep = ("page_id", "url")
     sure = parsed.filter(F.col("text").isNotNull() | (F.size("open") == 0)).select(*keep, F.coalesce("text", F.lit("")).alias("text"))
     other = parsed.filter(F.col("text").isNull() & (F.size("open") > 0)).select(*keep, FILE, ROW).join(found, [FILE, ROW], "left").select(*keep, F.coalesce("text", F.lit("")).alias("text"))

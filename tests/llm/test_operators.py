@@ -383,6 +383,18 @@ def test_extract(spark):
     assert op10_html.extract(pages.limit(0)).count() == 0
 
 
+def test_menus_on_few_pages_of_a_large_host(spark, monkeypatch):
+    monkeypatch.setattr(op10_html, "CHUNK_PAGES", 16)
+    rnd = random.Random(4)
+    menu = "Section menu with links to many other parts"
+    own = [" ".join(f"w{rnd.random()}" for _ in range(12)) for _ in range(200)]
+    rows = [(i, f"http://h.org/{i}", f"<body><div>{menu}</div><p>{o}</p></body>" if i % 67 == 0 else f"<body><p>{o}</p></body>") for i, o in enumerate(own)]
+    rows += [(500 + i, f"http://h.org/copy{i}", f"<body><p>{own[1]}</p></body>") for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in op10_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert sum(i % 67 == 0 for i in range(200)) == 3
+    assert all(got[i] == o for i, o in enumerate(own)) and all(got[500 + i] == own[1] for i in range(5))
+
+
 def re_texts(h):
     import re
 
