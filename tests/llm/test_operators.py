@@ -63,6 +63,25 @@ def test_exact_groups(spark, odd, empty):
     assert kept.columns == table(spark, odd).columns and kept.count() == len(groups)
 
 
+def test_tree_merge_rounds_and_weak_digests(spark, odd):
+    assert [len(op5_exact.merge_rounds(n, 40, 4)) for n in (1, 4, 5, 64, 65)] == [1, 1, 2, 3, 4]
+    assert op5_exact.merge_rounds(64, 40, 4) == [(16, 3), (4, 10), (1, 40)]
+    rnd = random.Random(11)
+    rows = [(rnd.randint(0, 400), rnd.choice(["a", "b", "ab c", "Ab C", "", None, "same length", "same lengtg"]) if i % 3 else "hot", "xx", "s") for i in range(600)]
+    docs = table(spark, rows).repartition(23)
+    want = {}
+    for i, t, *_ in rows:
+        want.setdefault(brute.lower_az(t or ""), []).append(i)
+    want = Counter((i, max(g), len(g)) for g in want.values() for i in g)
+    plan = op5_exact.exact_groups(docs, fan_in=3, task_rows=50)
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in plan.collect()) == want
+    weak = lambda t: op5_exact.F.encode(op5_exact.F.lpad(op5_exact.F.length(t).cast("string"), 8, "0"), "UTF-8")
+    for how in ({}, {"fan_in": 2, "task_rows": 7}):
+        got = op5_exact.exact_groups(docs, verify_texts=True, digest=weak, **how).collect()
+        assert Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == want
+    assert len(op5_exact.exact_groups(docs, digest=weak).select("keep_id").distinct().collect()) < len(want)
+
+
 def test_hot_groups_are_attached_by_broadcast(spark):
     from gridloom.llm.common import attach, materialize
 
