@@ -6,8 +6,8 @@ is above j, so large sets stop after one or two levels. All of it is vectorised
 
 Texts with equal sets are one class from the start. Candidates share a band. In each bucket every class is first checked against one
 hub, which keeps the work linear however large a group of copies is. What is left are buckets that still hold two components: there,
-only pairs of different components are looked at, in blocks, and only those whose signatures leave a similarity of 0.8 possible are
-verified. Links are confirmed on the full sets of 64-bit shingle hashes. Components come from local union-find inside partitions, then
+only pairs of different components are looked at, in pairs of blocks (see cross_blocks), and only those whose signatures leave a similarity of
+0.8 possible are verified. Links are confirmed on the full sets of shingles, each as its 64-bit hash. Components come from local union-find inside partitions, then
 minimum labels with pointer jumping. With 32 bands of 5 rows a pair of similarity 0.8 shares no band with probability 3e-6 at most.
 """
 
@@ -213,18 +213,47 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def cross_blocks(held: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows of held (stored: key, fp, hub, component) of the buckets with two components or more, dealt to pairs of blocks: columns bi, bj, own.
+
+    The largest component of a bucket is its major one. Its members fall into blocks, and so do all others, the minor ones. A minor block
+    meets itself, the later minor blocks and all major blocks, so each pair of different components meets exactly once, no task has more than two blocks,
+    and a bucket of n members with m minor ones gives about n * m / block rows: n if there are a few.
+    """
+    parts = materialize(held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")), "bucket-parts")
+    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    mixed = materialize(mixed.select("key", F.col("top.component").alias("major"), "size", (F.col("size") - F.col("top.n")).alias("minors")), "mixed")
+    rows = attach(held, mixed, "key", "size", unique=F.xxhash64("fp", "key")).filter(F.col("size").isNotNull())
+    lower = F.ceil(F.col("minors") / block).cast("int")
+    upper = F.ceil((F.col("size") - F.col("minors")) / block).cast("int")
+    slot = lambda n: F.pmod(F.xxhash64("fp"), n.cast("long")).cast("int")
+    is_minor = F.col("component") != F.col("major")
+    rows = rows.withColumn("own", F.when(is_minor, slot(lower)).otherwise(lower + slot(upper))).withColumn("lower", lower).withColumn("upper", upper)
+    pair = lambda i, j: F.struct(i.alias("bi"), j.alias("bj"))
+    own = F.col("own")
+    before = F.transform(F.sequence(F.lit(0), F.least(own, F.col("lower") - 1)), lambda i: pair(i, own))  # a minor block's own pair is in it
+    after = F.transform(F.sequence(own, F.col("lower") + F.col("upper") - 1), lambda j: pair(own, j))
+    tasks = F.when(own < F.col("lower"), F.array_union(before, after)).otherwise(before)
+    return rows.select("key", "fp", "hub", "component", "own", F.explode(tasks).alias("task")).select("key", "fp", "hub", "component", "own", "task.bi", "task.bj")
+
+
 def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components inside one block of one bucket whose signatures allow the similarity."""
-    for t in groups_of(batches, ["key", "block"]):
-        fps, comps, minor = (t.column(c).to_pylist() for c in ("fp", "component", "minor"))
+    """Pairs of different components between two blocks of one bucket whose signatures allow the similarity."""
+    for t in groups_of(batches, ["key", "bi", "bj"]):
+        bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
+        fps, comps, own = t.column("fp").to_pylist(), t.column("component").to_pylist(), t.column("own").to_numpy()
         hub = t.column("hub")[0].as_py()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(fps), SLOTS)
         number = {c: i for i, c in enumerate(dict.fromkeys(comps))}
         comp = np.array([number[c] for c in comps])
+        left, right = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
         out = set()
-        for i in np.flatnonzero(np.array(minor)).tolist():
-            for k in np.flatnonzero((comp != comp[i]) & ((sig == sig[i]).mean(1) >= LEAST_ESTIMATE)).tolist():
-                if fps[i] != hub and fps[k] != hub:  # the hub has been verified against all
+        for i in left.tolist():
+            if fps[i] == hub:  # it has been verified against all
+                continue
+            some = right[comp[right] != comp[i]]
+            for k in some[(sig[some] == sig[i]).mean(1) >= LEAST_ESTIMATE].tolist():
+                if fps[k] != hub:
                     out.add((min(fps[i], fps[k]), max(fps[i], fps[k])))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.binary()), pa.array([p[1] for p in out], pa.binary())], names=["a", "b"])
@@ -259,15 +288,8 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", siz
     first = components(links)
 
     held = members.join(first.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    held = materialize(held, "held")
-    mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("fp") == F.col("hub"), F.col("component"))).alias("major"), F.count(F.lit(1)).alias("size"))
-    mixed = materialize(mixed.filter("lo < hi").select("key", "major", "size"), "mixed")
-    open_rows = attach(held.select("key", "fp", "hub", "component"), mixed, "key", "size", unique=F.xxhash64("fp", "key")).filter(F.col("size").isNotNull())
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    minor = F.col("component") != F.col("major")
-    one = F.array(F.pmod(F.xxhash64("fp"), blocks.cast("long")).cast("int"))
-    spread = open_rows.withColumn("minor", minor).withColumn("block", F.explode(F.when(minor, F.sequence(F.lit(0), blocks - 1)).otherwise(one)))
-    spread = spread.join(sigs, "fp").repartition("key", "block").sortWithinPartitions("key", "block").select("key", "block", "fp", "hub", "component", "minor", "sig")
+    held = materialize(held.select("key", "fp", "hub", "component"), "held")
+    spread = cross_blocks(held).join(sigs, "fp").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     rest = materialize(spread.mapInArrow(_cross_pairs, "a binary, b binary").distinct(), "cross")
     more = materialize(verified(rest, texts, size), "cross-links")
     final = components(links.unionByName(more)) if more.limit(1).count() else first

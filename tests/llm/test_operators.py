@@ -122,6 +122,35 @@ def test_chains_of_links_without_a_common_hub(spark):
     assert got == brute.near([(i, t) for i, t, *_ in rows]) and len({c for _, c in got.values()}) == 1
 
 
+def test_one_cluster_with_an_outside_hub_stays_linear(spark):
+    from gridloom.llm.common import materialize
+
+    F = op3_superminhash.F
+    n, name = 100_000, lambda c: F.encode(c.cast("string"), "UTF-8")
+    held = spark.range(n).select(F.lit(1).cast("long").alias("key"), name(F.col("id")).alias("fp"), name(F.lit(0)).alias("hub"), F.when(F.col("id") == 0, name(F.lit(0))).otherwise(name(F.lit(1))).alias("component"))
+    rows = op3_superminhash.cross_blocks(materialize(held, "held"))
+    assert rows.count() <= n + n // op3_superminhash.BLOCK + 1
+    assert rows.groupBy("key", "bi", "bj").count().agg({"count": "max"}).first()[0] < 2.6 * op3_superminhash.BLOCK
+
+
+def test_every_pair_of_two_components_meets_once(spark):
+    from gridloom.llm.common import materialize
+
+    rnd = random.Random(12)
+    for most in (1, 2, 9):
+        rows = [(k, str(i).encode(), b"0", str(rnd.choice([0, 0, 0, *range(most)])).encode()) for k in range(4) for i in range(rnd.randint(2, 40))]
+        held = materialize(spark.createDataFrame(rows, "key long, fp binary, hub binary, component binary"), "held")
+        met, tasks = Counter(), {}
+        for r in op3_superminhash.cross_blocks(held, 5).collect():
+            tasks.setdefault((r["key"], r["bi"], r["bj"]), []).append(r)
+        for (key, bi, bj), rs in tasks.items():
+            for x in rs:
+                for y in rs:
+                    if x["own"] == bi and y["own"] == bj and x["component"] != y["component"] and (bi != bj or x["fp"] < y["fp"]):
+                        met[key, *sorted((bytes(x["fp"]), bytes(y["fp"])))] += 1
+        assert met == Counter((k, *sorted((f, g))) for k, f, _, c in rows for k2, g, _, d in rows if k == k2 and f < g and c != d)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     for same in (50, 160, 400):
