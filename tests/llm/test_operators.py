@@ -323,11 +323,20 @@ def test_packing_cuts_little():
 
 
 def test_mixing(spark, odd, empty):
-    tokens = {"a": 90_000, "b": 9_000, "c": 1_000}
-    alpha = op6_mixing.bisect_alpha(tokens, entropy_share=0.9)
-    assert op6_mixing.entropy(op6_mixing.weights(tokens, alpha)) / np.log(3) == pytest.approx(0.9, abs=1e-6)
-    alpha = op6_mixing.bisect_alpha(tokens, entropy_share=0.99, most_epochs=3.0)
-    assert max(op6_mixing.epochs(tokens, op6_mixing.weights(tokens, alpha), None).values()) == pytest.approx(3.0, abs=1e-6)
+    tokens = {"a": 90_000, "b": 9_000, "c": 1_000, "none": 0}
+    some = op6_mixing.materialize(spark.createDataFrame([(k, v, 1) for k, v in tokens.items()], "name string, tokens long, rows long"), "t")
+    for shares in (op6_mixing.shares_of(tokens), op6_mixing.shares_table(some)):
+        s = np.array([0.9, 0.09, 0.01])
+        w = lambda a: s**a / (s**a).sum()
+        alpha = op6_mixing.find_alpha(shares, entropy_share=0.9)
+        assert -(w(alpha) * np.log(w(alpha))).sum() / np.log(3) == pytest.approx(0.9, abs=1e-6) and 0 < alpha < 1
+        alpha = op6_mixing.find_alpha(shares, entropy_share=0.99, most_epochs=3.0)
+        assert max(w(alpha) / s) == pytest.approx(3.0, abs=1e-6)
+        alpha = op6_mixing.find_alpha(shares, most_epochs=5.0, budget=1.5)
+        assert max(1.5 * w(alpha) / s) == pytest.approx(5.0, abs=1e-6)
+        alpha = op6_mixing.find_alpha(shares, most_epochs=2.0, budget="whole")
+        assert max(w(alpha) / s) / min(w(alpha) / s) == pytest.approx(2.0, abs=1e-6)
+        assert op6_mixing.find_alpha(shares, most_epochs=1000.0) == 0 and op6_mixing.find_alpha(shares, entropy_share=0.01) == 1
     rnd = random.Random(6)
     rows = [(i, prose(rnd, rnd.randint(1, 40)), "xx", "big" if i % 10 else "small") for i in range(600)]
     out, alpha = op6_mixing.mix(table(spark, rows), most_epochs=2.5, block_tokens=500)
@@ -347,6 +356,65 @@ def test_mixing(spark, odd, empty):
     assert op6_mixing.mix(empty)[0].count() == 0 and op6_mixing.mixed_documents(empty, most_epochs=1.5, budget="whole").count() == 0
 
 
+def xx(seed, *values):
+    """Spark's xxhash64 of integers (i: 32 bits), longs, strings and nulls."""
+    import xxhash
+
+    h = 42
+    for v in (seed, *values):
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_copies(rows, most_epochs, budget, block_tokens, seed=17):
+    """(doc_id, copies) of mix() by plain loops; rows: doc_id, text, lang, source."""
+    per = {}
+    for i, t, _, s in rows:
+        per.setdefault("n" if s is None else "s" + s, []).append((i, t, len((t or "").encode().split())))
+    total = {k: sum(n for *_, n in v) for k, v in per.items()}
+    everything = sum(total.values())
+    share = {k: t / everything for k, t in total.items() if t}
+    lo, hi = 0.0, 1.0
+    for _ in range(200):
+        a = (lo + hi) / 2
+        z = sum(x**a for x in share.values())
+        lo, hi = (lo, a) if max(budget * x**a / z / x for x in share.values()) <= most_epochs else (a, hi)
+    z, out = sum(x**hi for x in share.values()), []
+    for k, docs in per.items():
+        epochs = budget * share[k] ** hi / z / share[k] if total[k] else 0.0
+        whole = int(epochs + 1e-9)
+        rest, blocks = max(0.0, (epochs - whole) * total[k]), max(1, -(-total[k] // block_tokens))
+        turns = {}
+        for i, t, n in docs:
+            place = xx((seed,), xx(i, t) if i is not None else xx(t) if t is not None else 42)
+            turns.setdefault((xx((seed,), k, xx((seed + 1,), place) % blocks) % (1 << 64)) >> 1, []).append((place, i, n))
+        spent = 0
+        for turn in sorted(turns):
+            room, held = rest - spent, 0
+            size = sum(n for *_, n in turns[turn])
+            for _, i, n in sorted(turns[turn], key=lambda d: d[0]):
+                out.append((i, whole + int(rest > 0 and (size <= room and spent + size <= rest or 0 <= room < size and held + n / 2 <= room))))
+                held += n
+            spent += size
+    return Counter(out)
+
+
+@pytest.mark.parametrize("block_tokens", [300, 5_000, 1_000_000])
+def test_mixing_against_brute_force(spark, block_tokens):
+    rnd = random.Random(13)
+    rows = [(i, prose(rnd, rnd.randint(0, 60)), "xx", rnd.choice(["big"] * 7 + ["mid"] * 2 + ["small", None])) for i in range(700)] + [(900, None, None, "blank"), (None, "a b", None, "big")]
+    got, alpha = op6_mixing.mix(table(spark, rows), most_epochs=1.9, budget=1.5, block_tokens=block_tokens)
+    assert 0 < alpha < 1 and Counter((r["doc_id"], r["copies"]) for r in got.collect()) == brute_copies(rows, 1.9, 1.5, block_tokens)
+
+
+def test_mixing_query_against_brute_force(spark, sf_dir):
+    got = op6_mixing.op6_temperature_mixing(spark, sf_dir).collect()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    copies = [r["copies"] for r in got]
+    assert Counter((r["doc_id"], r["copies"]) for r in got) == brute_copies(docs, 1.6, 1.5, 1_000_000) and min(copies) < max(copies)
+
+
 def test_shared_passages(spark, odd, empty):
     rnd = random.Random(9)
     passage = [f"p{i}" for i in range(60)]
