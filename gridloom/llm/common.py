@@ -140,56 +140,70 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, hot: int = 5
     return a.select(*rows.columns, *(F.coalesce(f"__gl_h_{c}", c).alias(c) for c in cols))
 
 
-def range_shards(df: DataFrame, key: str, weight: Column, target: int, least: int = 1, bins: int = 2048, rounds: int = 4) -> tuple[Column, int]:
-    """Shard numbers (a column over key) and how many: ascending key ranges of about `target` weight each (null is in shard 0), the same for the same rows.
+def range_shards(df: DataFrame, key: str, weight: Column, target: int, least: int = 1, bins: int = 2048, rounds: int = 4, spread: Column | None = None) -> tuple[Column, int]:
+    """Shard numbers (a column over key) and how many: ascending key ranges of about `target` weight each (null comes first), the same for the same rows.
 
     Range cuts come from exact histograms over the key (`bins` bins, four a shard at least), refined where a bin is heavy; the driver sees only bins.
-    Integer keys only. A single key value is never cut.
+    Integer keys only. A single key (or null) heavier than two shards is dealt to shards of its own by the hash `spread`; without that it is never cut.
     """
-    spans = df.agg(F.min(key), F.max(key), F.sum(weight)).first()
-    lo, hi, total = spans[0], spans[1], int(spans[2] or 0)
-    if lo is None:
-        return F.lit(0), 1
+    spans = df.agg(F.min(key), F.max(key), F.sum(weight), F.sum(F.when(F.col(key).isNull(), weight))).first()
+    lo, hi, total, nulls = spans[0], spans[1], int(spans[2] or 0), int(spans[3] or 0)
     target = max(1, min(target, total // least + 1), total // 50_000)  # at most some 50,000 shards
+    parts = lambda w: -(-w // target) if spread is not None and w > 2 * target else 1
+    null_parts = parts(nulls)
+    first = null_parts if null_parts > 1 else 0  # a light null goes into the first shard of keys
     bins = max(bins, 4 * (total // target + 1))
-    cells: list[tuple[int, int, int]] = [(lo, hi, total)]  # first key, last key, weight
+    cells: list[tuple[int, int, int]] = [] if lo is None else [(lo, hi, total - nulls)]  # first key, last key, weight
     for _ in range(rounds):
         heavy = sorted((c for c in cells if 4 * c[2] > target and c[0] < c[1]), key=lambda c: (-c[2], c[0]))[: bins // 2]
         if not heavy:
             break
         per = bins // len(heavy)
         edges = sorted({a + (b - a + 1) * i // per for a, b, _ in heavy for i in range(per)} | {b + 1 for _, b, _ in heavy})
-        sums = {r[0]: int(r[1] or 0) for r in df.filter(F.col(key).isNotNull()).groupBy(_slot(F.col(key), edges).alias("s")).agg(F.sum(weight)).collect()}
+        slot = _slot(F.col(key), None, edges, list(range(len(edges) + 1)), [1] * (len(edges) + 1), 0, 1)
+        sums = {r[0]: int(r[1] or 0) for r in df.filter(F.col(key).isNotNull()).groupBy(slot.alias("s")).agg(F.sum(weight)).collect()}
         inside = lambda x: any(a <= x <= b for a, b, _ in heavy)  # noqa: B023, E731
         split = [(a, b - 1, sums[i + 1]) for i, (a, b) in enumerate(zip(edges, edges[1:])) if sums.get(i + 1) and inside(a)]
         cells = [c for c in cells if c not in heavy] + split
-    cuts, run = [], 0
-    for a, _, w in sorted(cells):
-        if run and run + w > target:
+    cuts, counts, run = [], [1], 0
+    for a, b, w in sorted(cells):
+        k = parts(w) if a == b else 1
+        if run and (run + w > target or k > 1):
             cuts.append(a)
+            counts.append(1)
             run = 0
+        counts[-1] = k
         run += w
-    return F.coalesce(_slot(F.col(key), cuts), F.lit(0)), len(cuts) + 1
+    firsts = [first]
+    for k in counts[:-1]:
+        firsts.append(firsts[-1] + k)
+    return _slot(F.col(key), spread, cuts, firsts, counts, 0, null_parts), firsts[-1] + counts[-1]
 
 
-def _slot(key: Column, edges: list[int]) -> Column:
-    """How many of the ascending edges are at most key, as a balanced tree of comparisons."""
+def _slot(key: Column, spread: Column | None, edges: list[int], firsts: list[int], counts: list[int], null_first: int, null_count: int) -> Column:
+    """Of the ascending edges those at most key are counted: firsts[that], and a part by spread of counts[that]. A balanced tree of comparisons."""
+    def place(i: int, n: int) -> Column:
+        return F.lit(i) if n == 1 else F.lit(i) + F.pmod(spread, F.lit(n).cast("long")).cast("int")
+
     def tree(i: int, j: int) -> Column:
         if i == j:
-            return F.lit(i)
+            return place(firsts[i], counts[i])
         m = (i + j) // 2
         return F.when(key >= F.lit(edges[m]), tree(m + 1, j)).otherwise(tree(i, m))
 
     if len(edges) <= 64:
-        return F.when(key.isNotNull(), tree(0, len(edges)))
-    find = F.pandas_udf(lambda s: _search(s, edges), "int")
-    return find(key)
+        return F.when(key.isNull(), place(null_first, null_count)).otherwise(tree(0, len(edges)))
+    find = F.pandas_udf(lambda s, h: _search(s, h, edges, firsts, counts, null_first, null_count), "int")
+    return find(key, F.lit(0).cast("long") if spread is None else spread)
 
 
-def _search(s, edges):
+def _search(s, h, edges, firsts, counts, null_first, null_count):
     import pandas as pd
 
-    return pd.Series(np.where(s.isna(), 0, np.searchsorted(np.array(edges), s.fillna(edges[0] - 1).astype("int64"), side="right")).astype("int32"))
+    none, h = s.isna().to_numpy(), h.to_numpy()
+    at = np.searchsorted(np.array(edges), s.fillna(edges[0] - 1).astype("int64"), side="right")
+    first, count = np.array(firsts)[at], np.array(counts)[at]
+    return pd.Series(np.where(none, null_first + h % null_count, first + h % count).astype("int32"))
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -94,7 +94,8 @@ def write_warc(pages: DataFrame, to: str, least_revisit: int = 1000, roll_bytes:
 
     Payloads are html in UTF-8 (null: empty). Of equal payloads of at least least_revisit bytes the record with the largest page id is
     the response; repeated rows with that id are all responses. Rows with a null page id are responses, sort first and are referred to by none.
-    Rows with equal ids are in the order of a hash of url and html. Other columns are not read.
+    Rows with equal ids are in the order of a hash of url and html; where one id (or null) fills more than two shards, that hash deals its
+    rows to shards. Other columns are not read.
     """
     pages = stored(pages)
     rows = with_address(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")))
@@ -108,7 +109,7 @@ def write_warc(pages: DataFrame, to: str, least_revisit: int = 1000, roll_bytes:
     null = lambda kind: F.lit(None).cast(kind)
     orders = found.select("page_id", null("string").alias("url"), null("binary").alias("html"), "tie", FILE, ROW, F.lit(0).alias("kind"), F.col("answer.page_id").alias("refers_to"), F.col("answer.url").alias("refers_url"))
     full = rows.select("page_id", "url", F.col("html").cast("binary").alias("html"), F.xxhash64("url", "html").alias("tie"), FILE, ROW, F.lit(1).alias("kind"), null("long").alias("refers_to"), null("string").alias("refers_url"))
-    shard_of, n = range_shards(thin, "page_id", F.col("size") + 400, shard_bytes, least_shards)
+    shard_of, n = range_shards(thin, "page_id", F.col("size") + 400, shard_bytes, least_shards, spread=F.col("tie"))
     both = orders.unionByName(full).withColumn("__gl_shard", shard_of)
     placed = both.repartitionById(n, F.col("__gl_shard").cast("int")).sortWithinPartitions("__gl_shard", "page_id", "tie", FILE, ROW, "kind")
 

@@ -2,8 +2,11 @@
 
 A byte-pair tokenizer splits a text into pieces and encodes each piece by itself. For the two split patterns known here the pieces of a
 text of plain characters (ASCII and the Latin-1 letters and signs, where every Unicode version agrees) are found by one
-regular expression and looked up in a bounded dictionary of encoded pieces; new pieces go through the tokenizer's own model. Any other text, and any
-other kind of tokenizer file, goes through the tokenizer as a whole. The ids are those of the whole text in every case.
+regular expression and looked up in a bounded dictionary of encoded pieces; new pieces go through the tokenizer's own model. Any other text, any text
+with the content of an added token, and any other kind of tokenizer file, goes through the tokenizer as a whole. The ids are those of the whole text in every case.
+
+A string such as <|endoftext|> inside a text is ordinary text: the tokenizers' description (/opt/tokenizers/README.md) sets encode_special_tokens, so that no
+document can forge an end of document. special_as_text=False gives the library's own default instead, where it becomes the special id.
 """
 
 from __future__ import annotations
@@ -50,17 +53,20 @@ BYTE_LEVEL = _byte_level()
 
 
 class Encoder:
-    """encode_batch(texts) gives one array of ids per text (uint32). Strings of special tokens in a text are ordinary text."""
+    """encode(text) gives the ids of a text. special_as_text: whether strings of special tokens are ordinary text."""
 
-    def __init__(self, path: str, most_pieces: int = 400_000):
+    def __init__(self, path: str, most_pieces: int = 400_000, special_as_text: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         with open(path, encoding="utf-8") as f:
-            self.kind = _kind(json.load(f))
+            spec = json.load(f)
+        added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.kind = _kind(spec) if all(t and not t.isspace() and PLAIN.fullmatch(t) for t in added) else None
         self.find = KNOWN[self.kind].findall if self.kind else None
+        self.added = re.compile("|".join(map(re.escape, added)), re.I).search if added else lambda text: None
         self.pieces: dict[str, bytes] = {}
         self.most = most_pieces
 
@@ -69,7 +75,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.find is None or not PLAIN.fullmatch(text):
+        if self.find is None or not PLAIN.fullmatch(text) or self.added(text):
             return self.whole(text)
         found = self.find(text.lower() if self.kind == "words" else text)
         known = self.pieces

@@ -242,6 +242,13 @@ def test_pieces_give_the_whole_texts_ids(name, tmp_path):
     else:
         e = Encoder(path_of(name), most_pieces=50)
         assert e.kind
+        from tokenizers import Tokenizer
+
+        bare, default = Tokenizer.from_file(path_of(name)), Encoder(path_of(name), special_as_text=False)
+        for t in ("x <|endoftext|> y", "<|EndOfText|>", "a<|startoftext|>b", "<|endoftext|"):
+            ids = lambda raw: np.frombuffer(raw, "<u4").tolist()
+            assert ids(default.encode(t)) == bare.encode(t, add_special_tokens=False).ids
+            assert e.tokenizer.encode_special_tokens and ids(e.encode(t)) == e.tokenizer.encode(t, add_special_tokens=False).ids
     rnd = random.Random(3)
     letters = "abcXYZ '’  \n\t!?.-123²ÀéßµªÇ日本\x85\xa0İsl<|endoftext|>"
     for _ in range(1500):
@@ -254,8 +261,20 @@ def test_addressable_codes(spark, odd, empty):
     for widths in ((8, 8, 8, 8), (4, 12, 16), (16, 16)):
         for n in (0, 1, 511, 512, 513, 3000):
             ids = (rng.integers(0, 2**31, n) >> rng.integers(0, 31, n)).astype(np.uint32)
-            f = op4_dac.DacFile(op4_dac.file_bytes([7], np.array([n]), ids, widths))
+            f = op4_dac.DacFile.of(op4_dac.file_bytes([7], np.array([n]), ids, widths))
             assert np.array_equal(f.all(), ids) and all(f[i] == ids[i] for i in range(n))
+            for a, b in (sorted(rng.integers(0, n + 1, 2).tolist()) for _ in range(9)):
+                assert np.array_equal(f.slice(a, b), ids[a:b])
+    seen, raw = [0], op4_dac.file_bytes(list(range(1000)), np.full(1000, 100), rng.integers(0, 2**16, 100_000).astype(np.uint32))
+
+    def fetch(place, length):
+        seen[0] += length
+        return raw[place : place + length]
+
+    f = op4_dac.DacFile(fetch)
+    seen[0] = 0
+    assert f[77_777] == f.slice(77_777, 77_778)[0] and seen[0] < 300  # any id costs some bytes of the file
+    assert op4_dac._checksums(f, [0, 100, 100, 50_000], 1_000) == [zlib.crc32(f.slice(a, b).tobytes()) for a, b in ((0, 100), (100, 100), (100, 50_000))]
     to = scratch(spark, "t")
     docs = table(spark, odd)
     manifest = op4_dac.write_ids(docs, to, path_of("word_bpe_49k.json"), 2, least_shards=4, file_ids=5000)
@@ -266,6 +285,12 @@ def test_addressable_codes(spark, odd, empty):
         want.append((i, at, len(b) // 4, zlib.crc32(b)))
         at += len(b) // 4
     assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want and manifest.count() > 2
+    hot = table(spark, [(5 if i % 3 else i, f"text {i}", "xx", "s") if i % 7 else (None, "x" * i, "xx", "s") for i in range(900)])
+    to = scratch(spark, "t")
+    manifest = op4_dac.write_ids(hot, to, path_of("word_bpe_49k.json"), 2, shard_bytes=1500, least_shards=2)
+    got = sorted((r["start"], r["doc_id"]) for r in op4_dac.read_ids(manifest, to).collect())
+    ids = [i for _, i in got]
+    assert len(got) == 900 and ids == sorted(ids, key=lambda i: (i is not None, i or 0)) and manifest.agg({"docs": "max"}).first()[0] < 150
     to = scratch(spark, "t")
     assert op4_dac.read_ids(op4_dac.write_ids(empty, to, path_of("word_bpe_49k.json"), 2), to).count() == 0
 
