@@ -55,3 +55,13 @@ def near(docs):
             a, b = find(a), find(b)
             parent[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]

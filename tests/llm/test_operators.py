@@ -455,6 +455,99 @@ def test_shared_passages(spark, odd, empty):
     assert {r["doc_id"] for r in op9_chaining.shared_passages(table(spark, odd)).collect()} >= {20, 21, 22}
 
 
+def own_words(rnd, n):
+    return [f"u{rnd.randrange(10**9)}" for _ in range(n)]
+
+
+def test_passages_whose_seeds_have_several_first_documents(spark):
+    rnd = random.Random(21)
+    for case, parts in enumerate([[(0, 45), (45, 90)], [(0, 40), (20, 60), (40, 80)], [(0, 60)], [(0, 30), (30, 60), (60, 90)], [(k, k + 14) for k in range(0, 84, 7)]]):
+        p = [f"p{case}-{i}" for i in range(90)]
+        texts = [own_words(rnd, 12) + p[a:b] + own_words(rnd, 12) for a, b in parts] + [own_words(rnd, 9) + p + own_words(rnd, 9), own_words(rnd, 30) + p + own_words(rnd, 5)]
+        docs = table(spark, [(i, " ".join(t), "xx", "s") for i, t in enumerate(texts)])
+        n = len(texts)
+        got = {(r["doc_id"], r["partner_id"], r["start_word"], r["end_word"]) for r in op9_chaining.shared_passages(docs).collect()}
+        assert (n - 1, n - 2, 30, 120) in got, (case, got)
+
+
+def test_long_fuzzy_ends_and_repeated_ids(spark):
+    rnd = random.Random(22)
+    passage = own_words(rnd, 900)
+    fuzzy = [w if i < 60 or i % 5 else f"edit{i}" for i, w in enumerate(passage)]  # no seed after word 60, identity 0.8
+    rows = [(1, " ".join(own_words(rnd, 20) + passage), "xx", "s"), (2, " ".join(own_words(rnd, 20) + fuzzy), "xx", "s")]
+    r = op9_chaining.shared_passages(table(spark, rows)).collect()
+    assert len(r) == 1 and (r[0]["start_word"], r[0]["partner_start"]) == (20, 20) and r[0]["end_word"] >= 915
+    rows = [(3, " ".join(passage[:70]), "xx", "s"), (5, " ".join(["zz"] + passage[:70]), "xx", "s"), (5, " ".join(["aa"] + own_words(rnd, 60)), "xx", "s"), (5, None, "xx", "s"), (None, " ".join(passage[:70]), "xx", "s")]
+    assert [(r["doc_id"], r["partner_id"], r["start_word"], r["end_word"]) for r in op9_chaining.shared_passages(table(spark, rows)).collect()] == [(5, 3, 1, 71)]
+
+
+def planted(rnd, words, identity, how):
+    """A passage and a copy with identity * words common words; edits at random places, evenly, or as words put in and left out."""
+    a = own_words(rnd, words)
+    n = round(words * (1 - identity))
+    at = set(rnd.sample(range(1, words - 1), n)) if how != "even" else {round((i + 0.5) * words / n) for i in range(n)}
+    b = []
+    for i, w in enumerate(a):
+        if i not in at:
+            b.append(w)
+        elif how != "indels":
+            b += own_words(rnd, 1)
+        elif i % 2:
+            b += [w, *own_words(rnd, 1)]
+    return a, b
+
+
+def recall(spark, trials, settings, seed=23):
+    """Of planted pairs of documents, how many give a passage that covers half of it at least."""
+    rnd, rows, where = random.Random(seed), [], {}
+    for s in settings:
+        for _ in range(trials):
+            a, b = planted(rnd, *s)
+            i = len(rows)
+            rows += [(i, " ".join(own_words(rnd, 40) + a + own_words(rnd, 40)), "xx", "s"), (i + 1, " ".join(own_words(rnd, 30) + b + own_words(rnd, 50)), "xx", "s")]
+            where[i + 1] = (s, len(b))
+    hit = Counter()
+    for r in op9_chaining.shared_passages(table(spark, rows)).collect():
+        s, n = where[r["doc_id"]]
+        hit[s] += r["partner_id"] == r["doc_id"] - 1 and 2 * (min(r["end_word"], 30 + n) - max(r["start_word"], 30)) >= n
+    return {s: hit[s] / trials for s in settings}
+
+
+def test_recall_of_fuzzy_passages(spark):
+    got = recall(spark, 40, [(60, 0.9, "random"), (100, 0.85, "random"), (100, 0.9, "even"), (200, 0.9, "indels"), (200, 0.8, "random")])
+    assert got[60, 0.9, "random"] >= 0.8 and got[100, 0.85, "random"] >= 0.8 and got[100, 0.9, "even"] >= 0.9 and got[200, 0.9, "indels"] >= 0.9 and got[200, 0.8, "random"] >= 0.7, got
+
+
+def test_exact_passages_against_brute_force(spark, sf_dir):
+    """Every document with 64 words that an earlier one has too (whole 64-word windows by hash) is found, with these words covered."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r["doc_id"]: brute.WORD.findall(brute.lower_az(r["text"] or "")) for r in docs.collect()}
+    holder, need = {}, {}
+    for i in sorted(texts):
+        w = texts[i]
+        windows = [(k, hash(tuple(w[k : k + 64]))) for k in range(len(w) - 63)]
+        need[i] = [k for k, h in windows if h in holder]
+        for _, h in windows:
+            holder.setdefault(h, i)
+    found = {}
+    for r in op9_chaining.op9_collinear_chaining(spark, sf_dir).collect():
+        assert r["identity"] >= 0.8 and min(r["end_word"] - r["start_word"], r["partner_end"] - r["partner_start"]) >= 50 and r["partner_id"] < r["doc_id"]
+        a, b = texts[r["doc_id"]][r["start_word"] : r["end_word"]], texts[r["partner_id"]][r["partner_start"] : r["partner_end"]]
+        assert brute.common(a, b) / max(len(a), len(b)) == pytest.approx(r["identity"], abs=0.051)
+        found.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"]))
+    missed = [(i, k) for i, ks in need.items() for k in ks if not any(s <= k + 32 < e for s, e in found.get(i, []))]
+    assert any(need.values()) and not missed
+
+
+def test_stretch_keys_depend_on_their_seeds_alone():
+    rng = np.random.default_rng(3)
+    seed, gap = rng.integers(-(2**62), 2**62, 60), rng.integers(1, 7, 60)
+    pos, partner, ppos = np.cumsum(gap), rng.integers(0, 3, 60), rng.integers(0, 9, 60)
+    whole = {(a - pos[0], b - pos[0]): k for k, a, b in zip(*op9_chaining.stretches(seed, pos, partner, ppos, 20))}
+    some = op9_chaining.stretches(seed[9:], pos[9:] + 1000, partner[9:], ppos[9:], 20)
+    assert len(some[0]) > 20 and all(whole[a - 1000 - pos[0], b - 1000 - pos[0]] == k for k, a, b in zip(*some)) and len(set(whole.values())) == len(whole)
+
+
 def test_chains_against_all_chains():
     rnd = random.Random(8)
     for _ in range(200):
