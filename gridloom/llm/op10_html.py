@@ -1,10 +1,11 @@
 """Main text of HTML pages, with a suffix array per host for boilerplate.
 
 A page becomes blocks of text, each with what its place says: dropped (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments), main (inside an article, or main, element) or open (anything else). A page with main blocks gives these. For
-a page without, the open blocks decide: the token streams of a host's pages (in chunks of bounded size, by a hash of the blocks) are
-concatenated, a suffix array finds the runs of tokens of each chunk, their distinct pages are added up over the chunks of the host, blocks
+styles, reader comments), in an article, in a main element, or open (anything else). The blocks of articles are the page's text. For a page without an
+article, its main blocks, or else its open ones, are judged by the host's suffix array: the token streams of its pages (in chunks of bounded size, by a
+hash of the blocks) are concatenated, a suffix array finds the runs of tokens of each chunk, their distinct pages are added up over all chunks of the host, blocks
 that runs of several pages cover are boilerplate, and the unique ones stay. Text inside an article is never taken away for being repeated: mirrored pages and quoted passages are content.
+structure=False leaves everything but scripts and styles to the suffix array.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import partial
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -22,7 +24,7 @@ from .common import FILE, ROW, attach, groups_of, materialize, with_address
 from .op3_superminhash import GOLDEN, WordHashes, mix
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title template noscript iframe svg math".split())
+RAW = frozenset("script style textarea title template iframe".split())
 DROP_TAGS = frozenset("nav footer aside form button dialog menu head object canvas audio video select".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
@@ -35,6 +37,9 @@ SCOPES = frozenset("ul ol dl table article section div main body html td th form
 DROP_WORDS = frozenset(
     "nav navbar navigation menu menubar sidebar footer ad ads adv advert adverts advertisement advertising adsbygoogle banner promo sponsor sponsored cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup share sharing social comment comments respond reply replies disqus related recommended recommendations breadcrumb breadcrumbs pagination pager widget widgets toolbar masthead topbar login search skip".split()
 )
+#: Words that a class name may have besides: "comment-list" is one of comments, "related-work" and "social-policy" are not what they begin with.
+PART_WORDS = frozenset("list box bar block container wrapper wrap inner outer section area item items left right top bottom main site page global primary secondary header body content link links button buttons form text message messages icon icons title group module panel slot unit inline".split())
+NAME_WORDS = DROP_WORDS | PART_WORDS
 #: Words that say the element only has, or has not, such a part; and what whole class names mark an article that isn't the page's.
 RELATION_WORDS = frozenset("with has no without".split())
 SMALL_ARTICLES = frozenset("comment comments reply ad advert advertisement sponsored promo related".split())
@@ -42,7 +47,7 @@ DROP_ROLES = frozenset("navigation banner contentinfo complementary search form
 TAG = re.compile(r"""<(?:!--(?P<comment>)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|[!?][^>]*>|/[^a-zA-Z][^>]*>)""")
 ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile(r"[a-z]+")
-SEPARATOR = "\x00"
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 CHUNK_PAGES = 512
 #: Tokens of a run, and distinct pages of a host from which on it is boilerplate, however many pages the host has.
 RUN, LEAST_PAGES = 6, 3
@@ -61,18 +66,24 @@ def _dropped(name: str, attrs: str, in_main: bool) -> bool:
             continue
         for token in value.split() if name not in ("html", "body") else ():
             words = WORDS.findall(token) if name not in ("article", "main") else [token] if token in SMALL_ARTICLES else []
-            if not RELATION_WORDS.isdisjoint(words):
+            if not RELATION_WORDS.isdisjoint(words) or not NAME_WORDS.issuperset(words):
                 continue
-            if not DROP_WORDS.isdisjoint(words) or "header" in words and not in_main:
+            if not DROP_WORDS.isdisjoint(words) or words[:1] == ["header"] and not in_main:
                 return True
     return False
 
 
-def blocks_of(page: str) -> list[tuple[str, int]]:
-    """Blocks with text that aren't dropped, in page order, and their place: 1 open, 2 in main, 3 in an article."""
+def blocks_of(page: str, structure: bool = True) -> list[tuple[str, int]]:
+    """Blocks with text that aren't dropped, in page order, and their place: 1 open, 2 in main, 3 in an article (without structure: all open).
+
+    One pass whose time grows with the page: open elements are found by the places of their names on the stack, never by a walk over it.
+    """
     out: list[tuple[str, int]] = []
     held: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # name, dropped, place
+    where: dict[str, list[int]] = {}  # places of each open name, and of all scopes
+    scopes: list[int] = [-1]
+    endless: set[str] = set()  # raw elements that no end tag follows any more
     drop, place = False, 1
     at, n = 0, len(page)
 
@@ -85,7 +96,11 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
 
     def pop_to(i: int) -> None:
         nonlocal drop, place
-        del stack[i:]
+        while len(stack) > i:
+            name = stack.pop()[0]
+            where[name].pop()
+            if name in SCOPES:
+                scopes.pop()
         drop, place = (stack[-1][1], stack[-1][2]) if stack else (False, 1)
 
     while at < n:
@@ -99,64 +114,75 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
             break
         m = TAG.match(page, lt)
         if m is None:
-            if lt + 1 < n and (page[lt + 1].isalpha() or page[lt + 1] in "/!?") and page.find(">", lt) < 0:
+            close = page.find(">", lt)
+            if close < 0 and lt + 1 < n and (page[lt + 1].isalpha() or page[lt + 1] in "/!?"):
                 break  # cut off inside a tag
-            if lt + 1 < n and page[lt + 1].isalpha() and page.find(">", lt) >= 0:  # an open quote: up to the next >
-                at = page.find(">", lt) + 1
+            if lt + 1 < n and page[lt + 1].isalpha():  # an open quote: up to the next >
+                at = close + 1
                 continue
             if not drop:
                 held.append("<")
             at = lt + 1
             continue
         at = m.end()
-        if m["comment"] is not None:
-            end = page.find("-->", lt + 4)
-            at = n if end < 0 else end + 3
+        comment, end, name, attrs = m.groups()
+        if comment is not None:
+            close = page.find("-->", lt + 4)
+            at = n if close < 0 else close + 3
             continue
-        if m["name"] is None:
+        if name is None:
             continue
-        name, attrs = m["name"].lower(), m["attrs"]
-        if m["end"]:
+        name = name.lower()
+        if end:
             if name in BLOCKS:
                 flush()
             elif name in SPACED:
                 held.append(" ")
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop_to(i)
-                    break
-                if name not in SCOPES and stack[i][0] in SCOPES:
-                    break  # a stray end tag doesn't leave its container
+            if places := where.get(name):
+                if name in SCOPES or places[-1] > scopes[-1]:  # a stray end tag doesn't leave its container
+                    pop_to(places[-1])
             continue
         if name in RAW:
             if not attrs.rstrip().endswith("/") or name in ("script", "style", "textarea", "title"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else n if name in ("script", "style") else at
+                close = None if name in endless else RAW_END[name].search(page, at)
+                if close:
+                    at = close.end()
+                else:
+                    endless.add(name)
+                    at = n if name in ("script", "style") else at
             continue
         if name in BLOCKS:
             flush()
         elif name in SPACED:
             held.append(" ")
-        ends = SIBLINGS.get(name, frozenset()) | ({"p"} if name in CLOSES_P else frozenset())
-        if ends:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    pop_to(i)
-                    break
-                if stack[i][0] in SCOPES:
-                    break
+        closes = SIBLINGS.get(name, ()) if name not in CLOSES_P else (*SIBLINGS.get(name, ()), "p")
+        top = max((where[c][-1] for c in closes if where.get(c)), default=-1)
+        if top > scopes[-1]:
+            pop_to(top)
         if name in VOID or attrs.endswith("/") and name not in BLOCKS:
             continue
-        stack.append((name, drop or _dropped(name, attrs, place > 1), max(place, 3 if name == "article" else 2 if name == "main" or 'role="main"' in attrs else 1)))
-        drop, place = stack[-1][1], stack[-1][2]
+        if structure:
+            drop = drop or _dropped(name, attrs, place > 1)
+            place = max(place, 3 if name == "article" else 2 if name == "main" or 'role="main"' in attrs else 1)
+        where.setdefault(name, []).append(len(stack))
+        if name in SCOPES:
+            scopes.append(len(stack))
+        stack.append((name, drop, place))
     flush()
     return out
 
 
 def main_blocks(blocks: list[tuple[str, int]]) -> list[str] | None:
-    """Blocks of the articles, else of main; None if there are neither."""
-    top = max((p for _, p in blocks), default=0)
-    return [t for t, p in blocks if p == top] if top > 1 else None
+    """Blocks of the articles; None if there are none."""
+    found = [t for t, p in blocks if p == 3]
+    return found or None
+
+
+def open_blocks(blocks: list[tuple[str, int]]) -> list[str]:
+    """Blocks on which the suffix array decides: those of main without an article, else the open ones."""
+    places = {p for _, p in blocks}
+    want = 2 if 2 in places and 3 not in places else 1
+    return [t for t, p in blocks if p == want]
 
 
 def suffix_array(s: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -241,14 +267,14 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch], structure: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, opens, hosts = [], [], []
         for url, page in zip(b.column("url").to_pylist(), b.column("html").to_pylist()):
-            blocks = blocks_of(page or "")
+            blocks = blocks_of(page or "", structure)
             main = main_blocks(blocks)
             texts.append(None if main is None else "\n".join(main))
-            opens.append([t for t, p in blocks if p == 1])
+            opens.append(open_blocks(blocks))
             hosts.append(host_of(url))
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column(FILE), b.column(ROW), pa.array(hosts, pa.string()), pa.array(texts, pa.string()), pa.array(opens, pa.list_(pa.string()))], names=["page_id", "url", FILE, ROW, "host", "text", "open"])
 
@@ -291,16 +317,16 @@ def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.string())], names=[FILE, ROW, "text"])
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", structure: bool = True) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages.
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed. A null or empty
     page, or one with boilerplate alone, gives an empty text. A null or odd url is a host of its own name "". Repeated rows are pages of
-    their own, but equal streams count as one where repeats are looked for. Other columns are not read.
+    their own, but equal streams count as one where repeats are looked for. Other columns are not read. Very long pages take time in proportion.
     """
     rows = with_address(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")))
     kind = rows.schema["page_id"].dataType.simpleString()
-    parsed = materialize(rows.mapInArrow(_parse, f"page_id {kind}, url string, {FILE} long, {ROW} long, host string, text string, open array<string>"), "parsed-pages")
+    parsed = materialize(rows.mapInArrow(partial(_parse, structure=structure), f"page_id {kind}, url string, {FILE} long, {ROW} long, host string, text string, open array<string>"), "parsed-pages")
     loose = parsed.filter(F.size("open") > 0).select("host", F.col("text").isNull().alias("need"), "open", FILE, ROW)
     hosts = materialize(loose.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("any")), "hosts")
     chunks = F.ceil(F.coalesce("n", F.lit(1)) / CHUNK_PAGES).cast("long")

@@ -584,6 +584,94 @@ def test_main_text_by_structure():
     assert op10_html.blocks_of('<p title="a>b">x<p>y</div>z') == [("x", 1), ("y", 1), ("z", 1)]
 
 
+def test_class_names_count_as_wholes():
+    page = "<article>" + "".join(f'<div class="{c}">{c}</div>' for c in ("social-policy", "related-work", "search-algorithms", "comment-list", "ad-banner", "newsletter signup")) + "<noscript>n</noscript><svg><title>t</title><text>s</text></svg></article>"
+    assert [t for t, _ in op10_html.blocks_of(page)] == ["social-policy", "related-work", "search-algorithms", "ns"]
+
+
+def test_long_and_broken_pages_take_time_in_proportion():
+    import time
+
+    for part in ("<i>", "</b>", "<i></b>", "<b><div><i>", "<textarea>", "<a '", "<p>x", "<li><ul>", "<!-- ", "<x a=\"", "<td></tr>", "&amp", "<p class='a b' "):
+        page = "<b><div>" + part * (1_000_000 // len(part))
+        started = time.perf_counter()
+        op10_html.blocks_of(page)
+        assert time.perf_counter() - started < 4, part  # a quadratic pass takes minutes
+
+
+class Plain:
+    """The article's text by the standard library's parser, for pages of h1, p, b, br and entities inside it."""
+
+    def __init__(self, page):
+        from html.parser import HTMLParser
+
+        self.blocks, inside = [[]], [0]
+        parser = HTMLParser(convert_charrefs=True)
+
+        def start(tag, attrs):
+            inside[0] += tag == "article"
+            if tag in ("article", "h1", "p"):
+                self.blocks.append([])
+            elif tag == "br" and inside[0]:
+                self.blocks[-1].append(" ")
+
+        def end(tag):
+            inside[0] -= tag == "article" and inside[0] > 0
+            if tag in ("article", "h1", "p"):
+                self.blocks.append([])
+
+        parser.handle_starttag, parser.handle_endtag = start, end
+        parser.handle_data = lambda data: self.blocks[-1].append(data) if inside[0] else None
+        parser.feed(page or "")
+        parser.close()
+        self.text = "\n".join(t for b in self.blocks if (t := " ".join("".join(b).split())))
+
+
+def test_html_query_against_another_parser(spark, sf_dir):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").collect()}
+    got = {r["page_id"]: r["text"] for r in op10_html.op10_host_suffix_array(spark, sf_dir).collect()}
+    assert got == {i: Plain(h).text for i, h in pages.items()} and len(got) > 20
+
+
+def test_suffix_array_alone_against_brute_force(spark, monkeypatch):
+    """Without structure, over hosts of several chunks: blocks four fifths of whose words lie in runs that three distinct pages of the host have go."""
+    monkeypatch.setattr(op10_html, "CHUNK_PAGES", 16)
+    rnd = random.Random(31)
+    rows = []
+    for host, n in (("a.org", 150), ("b.org", 9), ("", 4)):
+        menus = [prose(rnd, rnd.randint(3, 12)) for _ in range(6)]
+        for i in range(n):
+            parts = rnd.sample(menus, rnd.randint(0, 3)) + [prose(rnd, rnd.randint(0, 25)) for _ in range(rnd.randint(0, 3))]
+            rnd.shuffle(parts)
+            rows += [(len(rows), f"http://{host}/{i}" if host else None, "".join(f"<div>{p}</div>" for p in parts))] * rnd.choice([1, 1, 1, 2])
+    rows = [(k, u, h) for k, (_, u, h) in enumerate(rows)] + [(10_000, "http://b.org/x", "<p>" + "long " * 20_000)]
+    runs = {}
+    stream = lambda h: tuple(t for b in re_texts(h + "<") for t in (*b.split(), None))
+    of = {k: (None,) + stream(h) if stream(h) else () for k, _, h in rows}
+    number = {}
+    for k, u, _ in rows:
+        me = number.setdefault(of[k], len(number))
+        for i in range(len(of[k]) - op10_html.RUN + 1):
+            runs.setdefault((op10_html.host_of(u), of[k][i : i + op10_html.RUN]), set()).add(me)
+    want = {}
+    for k, u, h in rows:
+        cover = set()
+        for i in range(len(of[k]) - op10_html.RUN + 1):
+            if len(runs[op10_html.host_of(u), of[k][i : i + op10_html.RUN]]) >= op10_html.LEAST_PAGES:
+                cover |= set(range(i, i + op10_html.RUN))
+        at, kept = 1, []
+        for b in re_texts(h + "<"):
+            w = b.split()
+            if w:
+                if sum(i in cover for i in range(at, at + len(w))) < 0.8 * len(w):
+                    kept.append(" ".join(w))
+                at += len(w) + 1
+        want[k] = "\n".join(kept)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in op10_html.extract(pages, structure=False).collect()}
+    assert got == want and sum(len(t) for t in want.values()) < sum(len(" ".join(re_texts(h + "<"))) for *_, h in rows)
+
+
 def test_repeated_runs_against_brute_force():
     rnd = random.Random(4)
     for _ in range(60):
