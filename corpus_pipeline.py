@@ -1,4 +1,9 @@
-"""Corpus pipeline: quality rules, exact dedup, near dedup, source mixing, packing; each stage is written and read again."""
+"""Corpus pipeline: quality rules, exact dedup, near dedup, source mixing, packing; each stage is written and read again.
+
+All stages but the last return the columns of their input, whatever their names. Rows that repeat a doc_id, also null ones, are rows of their own
+everywhere; null and blank texts fail the quality rules' base and go there. A stage by itself treats them as its operator says: blank texts are one
+exact group, are near to nothing, come once in mixing, and are packed as an end id. Very long texts are read whole. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 

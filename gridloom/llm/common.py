@@ -107,6 +107,11 @@ def with_address(df: DataFrame) -> DataFrame:
     return stored(df).select("*", F.xxhash64(F.col("_metadata.file_path")).alias(FILE), F.col("_metadata.row_index").alias(ROW))
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """df with its columns as c0, c1, ...: no name of theirs is then one that an operator adds. toDF(*names) gives them back."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Where a text has ASCII alone, lower() does the same and is faster."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import materialize
+
 DIM = 1 << 14
 ORDERS = (1, 2, 3, 4)
 PLAIN = bytes(b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -148,17 +150,22 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, sample_rows: int = 1200, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
-    """Model from training rows (not held out; text and lang not null, a letter in the text). At most sample_rows rows in all."""
+    """Model from training rows (not held out; text and lang not null, a letter in the text). At most sample_rows rows in all.
+
+    Of rows that repeat a doc_id one counts, that with the least language and text, so that the bound holds whatever the ids.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    ids = materialize(rows.select("doc_id", "lang").distinct(), "training-ids")
+    counts = {r[0]: r[1] for r in ids.groupBy("lang").count().collect()}
     if not counts:
         return Model([], code_book(0), np.zeros((DIM, 0)), np.zeros(0), np.ones((0, 0)))
     each = max(4, sample_rows // len(counts))
     share = docs.sparkSession.createDataFrame([(k, int(min(1.0, (1.5 * each + 50) / n) * (1 << 20))) for k, n in counts.items()], "lang string, most long")
     hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20))
-    thin = rows.select("doc_id", "lang").join(F.broadcast(share) if len(counts) < 10_000 else share, "lang").withColumn("h", hashed).filter("h <= most")
+    thin = ids.join(F.broadcast(share) if len(counts) < 10_000 else share, "lang").withColumn("h", hashed).filter("h <= most")
     chosen = thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= each).select("doc_id").distinct()
-    got = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(_features, "lang string, doc_id long, idx binary, val binary").toPandas()
+    one = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row")).select("doc_id", "row.*")
+    got = one.select("doc_id", "lang", "text").mapInArrow(_features, "lang string, doc_id long, idx binary, val binary").toPandas()
     got = got.sort_values(["lang", "doc_id", "idx"], kind="stable")
     languages = sorted(set(got["lang"]))
     x = np.zeros((len(got), DIM), np.float32)

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import FILE, ROW, attach, groups_of, materialize, stored, with_address
+from .common import FILE, ROW, attach, groups_of, materialize, plain_names, stored, with_address
 
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
@@ -328,7 +328,8 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size
     """The rows of docs of which one stays per group, with all their columns; blank texts all stay."""
     docs = stored(docs)
     gone = near_groups(docs, text, doc_id, size).filter(~F.col("kept_row")).select(FILE, ROW)
-    return with_address(docs).join(gone, [FILE, ROW], "left_anti").select(*docs.columns)
+    plain = plain_names(docs)
+    return with_address(plain).join(gone, [FILE, ROW], "left_anti").select(*plain.columns).toDF(*docs.columns)
 
 
 def op3_superminhash(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import FILE, ROW, ascii_lower, attach, materialize, stored, with_address
+from .common import FILE, ROW, ascii_lower, attach, materialize, plain_names, stored, with_address
 
 KEY, RUN, PLACE = "__gl_key48", "__gl_run", "__gl_place"
 
@@ -85,7 +85,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kee
     """The rows of docs that stay, with all their columns; see exact_groups."""
     docs = stored(docs)
     gone = exact_groups(docs, text, doc_id, keep).filter(~F.col("kept")).select(FILE, ROW)
-    return with_address(docs).join(gone, [FILE, ROW], "left_anti").select(*docs.columns)
+    plain = plain_names(docs)
+    return with_address(plain).join(gone, [FILE, ROW], "left_anti").select(*plain.columns).toDF(*docs.columns)
 
 
 def op5_tree_merge_dedup(spark, sf_dir: str) -> DataFrame:

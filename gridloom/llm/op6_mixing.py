@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import FILE, ROW, attach, materialize, stored, with_address
+from .common import FILE, ROW, attach, materialize, plain_names, stored, with_address
 
 BIN_BITS = 12
 BINS = 1 << BIN_BITS
@@ -173,8 +173,9 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """docs with every row as often as mix() says, with all their columns."""
     docs = stored(docs)
     copies = mix(docs, **how)[0].select(FILE, ROW, F.col("copies").alias("__gl_copies")).filter("__gl_copies != 1")
-    rows = with_address(docs).join(copies, [FILE, ROW], "left").withColumn("__gl_copies", F.coalesce("__gl_copies", F.lit(1).cast("long")))
-    return rows.withColumn("__gl_copy", F.explode(F.array_repeat(F.lit(0), F.col("__gl_copies").cast("int")))).select(*docs.columns)
+    plain = plain_names(docs)
+    rows = with_address(plain).join(copies, [FILE, ROW], "left").withColumn("__gl_copies", F.coalesce("__gl_copies", F.lit(1).cast("long")))
+    return rows.withColumn("__gl_copy", F.explode(F.array_repeat(F.lit(0), F.col("__gl_copies").cast("int")))).select(*plain.columns).toDF(*docs.columns)
 
 
 def op6_temperature_mixing(spark, sf_dir: str) -> DataFrame:

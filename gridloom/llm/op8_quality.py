@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WordIds
+from .common import WordIds, plain_names
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\v\f\r"
@@ -186,10 +186,10 @@ def rule_text(rules: list[Rule]) -> list[str]:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 2000, text: str = "text", precision: float = 0.9) -> list[Rule]:
     """Rules from at most `sample_rows` labelled rows of each class (quality 0 and 1), those of the smallest hash of doc_id.
 
-    Labels that are null, or whose doc_id is missing from docs or null, don't count; of repeated doc_ids all rows count. With no bad
-    or no good row there are no rules.
+    Labels that are null, or whose doc_id is missing from docs or null, don't count; of rows that repeat a doc_id the least text counts, once for each
+    of its labels. With no bad or no good row there are no rules.
     """
-    marks = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)).alias("h"))
+    marks = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)).alias("h")).distinct()
     counts = {r[0]: r[1] for r in marks.groupBy("quality").count().collect()}
     if len(counts) < 2:
         return []
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 2000, text: str =
         share = min(1.0, 1.5 * sample_rows / n + 50 / n)
         chosen += [(r[0], q) for r in marks.filter((F.col("quality") == q) & (F.col("h") <= share * (1 << 20))).orderBy("h", "doc_id").limit(sample_rows).select("doc_id").collect()]
     wanted = docs.sparkSession.createDataFrame(chosen, "doc_id long, quality int").dropDuplicates()
-    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(wanted), "doc_id").select("doc_id", "quality", "text")  # at most 2 * sample_rows ids
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # at most 2 * sample_rows ids
     got = add_statistics(rows, keep=["doc_id", "quality"]).select("doc_id", "quality", "__gl_stats.*").toPandas().sort_values(["doc_id", "quality", *STATS], kind="stable")
     if not len(got):
         return []
@@ -233,4 +233,5 @@ def op8_decision_lists(spark, sf_dir: str) -> DataFrame:
 
 def filter_quality(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """Only the rows of docs that pass, with their own columns."""
-    return judge(docs, fit(docs, labels, text=text), text).filter("__gl_kept").select(*docs.columns)
+    plain = plain_names(docs)
+    return judge(plain, fit(docs, labels, text=text), f"c{docs.columns.index(text)}").filter("__gl_kept").select(*plain.columns).toDF(*docs.columns)

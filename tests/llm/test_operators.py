@@ -190,6 +190,129 @@ def test_learned_lists_on_held_out_rows():
     assert (hit == bad[2000:]).mean() > 0.95
 
 
+def brute_learn(x, bad, precision=0.9, most_rules=24, most_terms=4, cuts=48, least=3):
+    """Sequential covering by plain loops: rules as lists of (feature, at least, threshold)."""
+    from math import log2
+
+    holds = lambda rule, row: all((row[f] >= t) == ge for f, ge, t in rule)
+    left, rules = set(range(len(x))), []
+    while len(rules) < most_rules and sum(bad[i] for i in left) >= least:
+        grow, prune = [i for i in sorted(left) if i % 3 != 2], [i for i in sorted(left) if i % 3 == 2]
+        inside, rule = grow, []
+        while len(rule) < most_terms and (p0 := sum(bad[i] for i in inside)) and p0 < len(inside):
+            best = (1e-9, None)
+            for f in range(len(x[0])):
+                v = sorted(x[i][f] for i in inside)
+                for t in sorted({float(np.quantile(v, q, method="nearest")) for q in np.linspace(0, 1, cuts)}):
+                    for ge in (True, False):
+                        hit = [i for i in inside if (x[i][f] >= t) == ge]
+                        p = sum(bad[i] for i in hit)
+                        if p >= least and (gain := p * (log2(p / len(hit)) - log2(p0 / len(inside)))) > best[0]:
+                            best = (gain, (f, ge, t))
+            if best[1] is None:
+                break
+            rule.append(best[1])
+            inside = [i for i in grow if holds(rule, x[i])]
+        if not rule:
+            break
+
+        def worth(r):
+            hit = [i for i in prune if holds(r, x[i])]
+            return sum(1 if bad[i] else -1 for i in hit) / len(hit) if hit else -1.0
+
+        rule = max((rule[: k + 1] for k in range(len(rule))), key=lambda r: (worth(r), len(r)))
+        hit = [i for i in left if holds(rule, x[i])]
+        p = sum(bad[i] for i in hit)
+        if p < least or p < precision * len(hit):
+            break
+        rules.append(rule)
+        left -= set(hit)
+    return rules
+
+
+def test_learned_lists_against_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(4):
+        x = np.round(rng.random((150, 3)), 2)
+        bad = (x[:, 0] > 0.6) & (x[:, 2] < 0.5) | (rng.random(150) < 0.04)
+        got = op8_quality.learn(x, bad)
+        assert got == brute_learn(x.tolist(), bad.tolist()) and got
+
+
+def test_quality_query_against_brute_force(spark, sf_dir):
+    """Statistics, base and verdict of every document; the rules are learned again from the labelled documents by plain loops."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = [r for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r["quality"] is not None]
+    full = {i: op8_quality.statistics((t or "").encode(), op8_quality.WordIds()) for i, t in docs.items()}
+    failed = {i: s[0] < 50 or 100 * s[4] > 50 * s[0] for i, s in full.items()}
+    table_of = lambda ids: op8_quality.feature_table(np.array([full[i] for i in ids])).tolist()
+    known = sorted({(r["doc_id"], r["quality"]) for r in labels if r["doc_id"] in docs}, key=lambda k: (op8_quality.hash_of(k[0]), k))
+    known = [(i, q) for i, q in known if not failed[i]]
+    rules = brute_learn(table_of([i for i, _ in known]), [q == 0 for _, q in known])
+    hit = {i: any(all((row[f] >= t) == ge for f, ge, t in r) for r in rules) for i, row in zip(docs, table_of(docs))}
+    got = op8_quality.op8_decision_lists(spark, sf_dir).collect()
+    assert {(r["doc_id"], *(r[c] for c in op8_quality.BASE), r["base_failed"], r["kept"]) for r in got} == {(i, *brute.stats(t), failed[i], not failed[i] and not hit[i]) for i, t in docs.items()}
+
+
+def test_verdicts_on_held_out_labels(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality IS NOT NULL")
+    rules = op8_quality.fit(docs, labels.filter("doc_id % 2 = 0"))
+    test = op8_quality.judge(docs.join(labels.filter("doc_id % 2 = 1").select("doc_id", "quality"), "doc_id"), rules, keep=["doc_id", "quality"]).collect()
+    assert len(test) > 20 and np.mean([r["__gl_kept"] == bool(r["quality"]) for r in test if not r["__gl_base_failed"]]) > 0.9
+
+
+def test_fitting_rows_stay_bounded(spark):
+    rows = [(1, f"same id number {i} text words", ["aa", "bb"][i % 2], "s") for i in range(3000)] + [(i, f"other {i} some words", ["aa", "bb"][i % 2], "s") for i in range(2, 60)]
+    docs = table(spark, rows)
+    assert op1_langid.fit(docs, sample_rows=40).languages == ["aa", "bb"]
+    seen = []
+    real = op8_quality.learn
+    op8_quality.learn = lambda x, bad, precision: seen.append(len(x)) or real(x, bad, precision)
+    try:
+        long = table(spark, [(i, t + " word" * 5 + f" {i} ".join(f"w{k}" for k in range(60)), l, s) for i, t, l, s in rows])
+        op8_quality.fit(long, spark.createDataFrame([(i, i % 2) for i in range(60)] * 50, "doc_id long, quality int"))
+    finally:
+        op8_quality.learn = real
+    assert seen and seen[0] <= 60
+
+
+def test_language_query_against_brute_force(spark, sf_dir):
+    """Every text's n-grams, margins and decoding by plain loops over the fitted model."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = op1_langid.fit(docs)
+    keys = [int(k) for k in op1_langid.KEYS]
+
+    def predict(text):
+        clean = op1_langid.letters(None if text is None else text.encode())
+        if clean is None:
+            return "und", 0.0
+        count, total = Counter(), 0
+        for n in op1_langid.ORDERS:
+            for at in range(len(clean) - n + 1):
+                h = n * 0x165667B1 & 0xFFFFFFFF
+                for i in range(n):
+                    h = (h ^ clean[at + i] + 1) * keys[i] & 0xFFFFFFFF
+                    h ^= h >> 15
+                count[h >> 18] += 1
+                total += 1
+        at = np.array(list(count), int)
+        margin = (model.weights[at].astype(float) * np.array(list(count.values()))[:, None]).sum(0) / total + model.bias
+        loss = [sum(t * np.log1p(np.exp(-c * m)) for t, c, m in zip(model.trust[k], model.code[k], margin)) for k in range(len(model.languages))]
+        p = np.exp(-(np.array(loss) - min(loss)) * model.code.shape[1])
+        return model.languages[int(np.argmin(loss))], float((p / p.sum())[int(np.argmin(loss))])
+
+    got = {r["doc_id"]: r for r in op1_langid.predict(docs, model).collect()}
+    assert {i: r["lang_pred"] for i, r in got.items()} == {r["doc_id"]: r["lang_pred"] for r in op1_langid.op1_error_correcting_codes(spark, sf_dir).collect()}
+    some = [r for r in docs.collect() if r["doc_id"] % 3 == 0]
+    right = []
+    for r in some:
+        lang, score = predict(r["text"])
+        assert got[r["doc_id"]]["lang_pred"] == lang and got[r["doc_id"]]["score"] == pytest.approx(score, abs=1e-3), r["doc_id"]
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        right += [lang == r["lang"]] if got[r["doc_id"]]["held_out"] and r["lang"] and lang != "und" else []
+    assert np.mean(right) > 0.9
+
+
 def test_language_codes(spark, odd, empty):
     book = op1_langid.code_book(5)
     assert book.shape == (5, 15) and min((book[i] != book[j]).sum() for i in range(5) for j in range(i)) == 8
@@ -330,6 +453,17 @@ def test_packing(spark, odd, empty):
     assert op7_packing.pack_documents(empty, path_of("byte_bpe_50k.json"), 0).count() == 0
 
 
+def test_packing_query_against_the_tokenizer(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path_of("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    full = {r["doc_id"]: np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = op7_packing.op7_multi_length_packing(spark, sf_dir).collect()
+    assert check_packing(got, {i: len(b) // 4 for i, b in full.items()}) == 0
+    assert all(zlib.crc32(full[r["doc_id"]][4 * r["start"] : 4 * (r["start"] + r["length"])]) == r["ids_crc32"] and r["doc_tokens"] == len(full[r["doc_id"]]) // 4 for r in got)
+
+
 def test_packing_cuts_little():
     rnd = random.Random(1)
     for n in (1, 2, 30, 800):
