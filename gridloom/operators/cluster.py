@@ -8,52 +8,59 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from ..sources.shared import ranked, store
 from .raster import Raster
 
 
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0 .. n - 1 and edges (a, b) the least node of each component: roots hook onto lesser ones, then all paths are halved until flat."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        open_ = x != y
+        if not open_.any():
+            return label
+        a, b, low = a[open_], b[open_], np.minimum(x, y)[open_]
+        np.minimum.at(label, np.maximum(x, y)[open_], low)
+        while not np.array_equal(up := label[label], label):
+            label = up
+
+
 def _label_tile(pdf: pd.DataFrame, cols: int, eight: bool) -> pd.DataFrame:
-    at = {(r, c): i for i, (r, c) in enumerate(zip(pdf["row"], pdf["col"]))}
-    group = pdf["g"].to_numpy()
-    parent = list(range(len(pdf)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    steps = ((0, -1), (-1, 0), (-1, -1), (-1, 1)) if eight else ((0, -1), (-1, 0))
-    for (r, c), i in at.items():
-        for dr, dc in steps:
-            j = at.get((r + dr, c + dc))
-            if j is not None and group[i] == group[j]:
-                a, b = find(i), find(j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-    pdf = pdf.assign(root=[find(i) for i in range(len(pdf))], cell=pdf["row"].astype("int64") * cols + pdf["col"])
-    pdf["label"] = pdf.groupby("root")["cell"].transform("min")
-    return pdf[["row", "col", "g", "label"]]
+    """Labels of a tile's cells, which come sorted by row and column."""
+    r, c, g = pdf["row"].to_numpy(), pdf["col"].to_numpy(), pdf["g"].to_numpy()
+    r0, c0 = r.min(), c.min()
+    at = np.full((r.max() - r0 + 2, c.max() - c0 + 3), -1)  # a border where steps may look
+    at[r - r0 + 1, c - c0 + 1] = np.arange(len(r))
+    ends: list[tuple[np.ndarray, np.ndarray]] = []
+    for dr, dc in ((0, -1), (-1, 0), (-1, -1), (-1, 1)) if eight else ((0, -1), (-1, 0)):
+        j = at[r - r0 + 1 + dr, c - c0 + 1 + dc]
+        i = np.flatnonzero(j >= 0)
+        i = i[g[i] == g[j[i]]]
+        ends.append((i, j[i]))
+    label = least_labels(len(r), np.concatenate([i for i, _ in ends]), np.concatenate([j for _, j in ends]))
+    return pd.DataFrame({"row": r, "col": c, "g": g, "label": r[label].astype("int64") * cols + c[label]})
 
 
 def components(cells: DataFrame, cols: int, eight: bool = True, tile: int = 256) -> DataFrame:
     """cells (row, col, g): g of equal neighbours makes them one region. Adds label, the region's least row * cols + col."""
     tiles = cells.withColumn("tr", F.expr(f"row div {tile}")).withColumn("tc", F.expr(f"col div {tile}"))
     local = tiles.groupBy("tr", "tc").applyInPandas(lambda pdf: _label_tile(pdf.sort_values(["row", "col"]).reset_index(drop=True), cols, eight), "row int, col int, g double, label long")
-    local = _store(local)
+    local = store(local)
     edge = local.filter((F.col("row") % tile == 0) | (F.col("row") % tile == tile - 1) | (F.col("col") % tile == 0) | (F.col("col") % tile == tile - 1))
     steps = [(0, 1), (1, 0), (1, 1), (1, -1)] if eight else [(0, 1), (1, 0)]
     near = edge.withColumn("o", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps))))
     near = near.select((F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), F.col("g").alias("g1"), F.col("label").alias("a"))
     links = near.join(edge.withColumnRenamed("label", "b"), ["row", "col"]).filter((F.col("g1") == F.col("g")) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
-    both = _store(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = _store(both.groupBy("a").agg(F.least("a", F.min("b")).alias("l")))
+    both = store(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = store(both.groupBy("a").agg(F.least("a", F.min("b")).alias("l")))
     while True:
         low = both.join(labels.select(F.col("a").alias("b"), F.col("l").alias("bl")), "b").groupBy("a").agg(F.min("bl").alias("n"))
         step = labels.join(low, "a").select("a", F.col("l").alias("old"), F.least("l", "n").alias("l"))
         jump = step.join(labels.select(F.col("a").alias("l"), F.col("l").alias("up")), "l").select("a", "old", F.least("l", "up").alias("l"))
-        new = _store(jump)
+        new = store(jump)
         changed = new.filter("old <> l").limit(1).count()
         labels = new.select("a", "l")
         if not changed:
@@ -61,21 +68,11 @@ def components(cells: DataFrame, cols: int, eight: bool = True, tile: int = 256)
     return local.join(labels.select(F.col("a").alias("label"), "l"), "label", "left").select("row", "col", "g", F.coalesce("l", "label").alias("label"))
 
 
-def _store(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
-    return df.checkpoint()
-
-
 def cluster(raster: Raster, low: float, high: float, band: int = 0, tile: int = 256) -> DataFrame:
     """row, col, value, cluster: 8-connected regions of values within [low, high], numbered from 1 in the order of their first cell."""
     cells = raster.band(band).df.filter(F.col("value").between(low, high))
     lab = components(cells.select("row", "col", F.lit(1.0).alias("g")), raster.meta.cols, True, tile)
-    number = lab.select("label").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("label")))  # one row per region
+    number = ranked(lab.select("label").distinct(), "label", "number").select("label", (F.col("number") + 1).alias("cluster"))
     return cells.select("row", "col", "value").join(lab.select("row", "col", "label"), ["row", "col"]).join(number, "label").select("row", "col", "value", "cluster")
 
 

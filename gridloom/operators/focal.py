@@ -53,7 +53,7 @@ def focal_std(raster: Raster, radius: int = 1) -> Raster:
 def focal_apply(raster: Raster, func: Callable[[np.ndarray], np.ndarray], radius: int = 1, tile: int = 256) -> Raster:
     """func on the flattened windows (cells x window size, NaN: no data) of every cell, by tiles with a halo of mirrored cells."""
     m, r = raster.meta, radius
-    halo = lambda c: F.array_distinct(F.array(*(F.floor((c + k) / tile).cast("int") for k in (-r, 0, r))))
+    halo = lambda c: F.sequence(F.floor((c - r) / tile).cast("int"), F.floor((c + r) / tile).cast("int"))  # all tiles whose halo has the cell
     cells = mirrored(raster, r).withColumn("tr", F.explode(halo(F.col("row")))).withColumn("tc", F.explode(halo(F.col("col"))))
 
     def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

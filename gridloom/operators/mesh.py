@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as G
 from ..meta import RasterMeta
+from ..sources.shared import ranked
 from .neighbours import nearest
 
 
@@ -74,12 +75,9 @@ class Mesh:
         return e.select("n1", "n2", F.col("at.face_id").alias("first_face"), F.col("at.i").alias("first_i"))
 
     def numbered_edges(self) -> DataFrame:
-        """edge_id in order of first appearance; a prefix sum by face keeps the ranking spread over partitions of faces."""
-        e = self.edges()
-        per = e.groupBy("first_face").agg(F.count(F.lit(1)).alias("k"))
-        before = per.select("first_face", (F.sum("k").over(Window.orderBy("first_face")) - F.col("k")).alias("before"))
-        rank = F.row_number().over(Window.partitionBy("first_face").orderBy("first_i")) - 1
-        return e.withColumn("rank", rank).join(before, "first_face").select((F.col("before") + F.col("rank")).cast("int").alias("edge_id"), "n1", "n2")
+        """edge_id in order of first appearance."""
+        e = self.edges().select("n1", "n2", F.struct("first_face", "first_i").alias("at"))
+        return ranked(e, "at", "edge_id").select("edge_id", "n1", "n2")
 
     def edge_coords(self) -> DataFrame:
         a, b = (self.nodes.select(F.col("node_id").alias(n), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}")) for i, n in ((1, "n1"), (2, "n2")))
@@ -132,10 +130,10 @@ class Mesh:
         """Only the selected faces (face_id) and their nodes, both numbered anew in order."""
         faces = self.faces.join(selected.select("face_id").distinct(), "face_id", "left_semi")
         used = faces.select(F.explode(valid(F.col("nodes"))).alias("node_id")).distinct()
-        nodes = self.nodes.join(used, "node_id").withColumn("new", (F.row_number().over(Window.orderBy("node_id")) - 1).cast("int"))
+        nodes = ranked(self.nodes.join(used, "node_id"), "node_id", "new")
         c = Mesh(self.nodes, faces).corners().join(nodes.select("node_id", "new"), "node_id")
         rows = c.groupBy("face_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "new"))), lambda p: p["new"]).alias("nodes"))
-        rows = rows.select((F.row_number().over(Window.orderBy("face_id")) - 1).cast("int").alias("face_id"), "nodes")
+        rows = ranked(rows, "face_id", "new").select(F.col("new").alias("face_id"), "nodes")
         return Mesh(nodes.select(F.col("new").alias("node_id"), "x", "y"), rows)
 
     def subset_by_bounds(self, xmin: float, ymin: float, xmax: float, ymax: float) -> "Mesh":

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import geometry as G
+from ..sources.shared import store
 
 
 def nearest(points: DataFrame, sources: DataFrame, k: int = 1, cell: float = 1.0, within: float | None = None) -> DataFrame:
     """point_id, rank (from 1), elem_id, distance: the k nearest sources (elem_id, x, y) of each point (point_id, x, y); ties by elem_id.
 
     Points meet the sources of their bucket and the eight around it. That is exact for sources within `cell`; points that have found
-    fewer than k there look again in buckets of twice the size, until all have k, or `within` (or the extent) is covered.
+    fewer than k there look again in buckets of twice the size, until all have k or the extent is covered. With `within`, buckets have that size.
     """
     found = None
     todo, size = points.select("point_id", "x", "y"), float(cell)
     if within is not None:
-        return _ring(todo, sources, size, k).filter(F.col("distance") <= within)
+        return _ring(todo, sources, float(within) if within > 0 else size, k).filter(F.col("distance") <= within)
     spark = points.sparkSession
     ends = sources.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
     if not ends[4]:
@@ -27,7 +28,7 @@ def nearest(points: DataFrame, sources: DataFrame, k: int = 1, cell: float = 1.0
         return spark.createDataFrame([], "point_id long, rank int, elem_id int, distance double")
     reach = max(max(ends[1], extent[1]) - min(ends[0], extent[0]), max(ends[3], extent[3]) - min(ends[2], extent[2])) + size
     while True:
-        near = _ring(todo, sources, size, k)
+        near = store(_ring(todo, sources, size, k))
         last = size > reach
         sure = near if last else near.filter(F.col("distance") <= size)
         full = sure.groupBy("point_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select("point_id")
@@ -35,7 +36,7 @@ def nearest(points: DataFrame, sources: DataFrame, k: int = 1, cell: float = 1.0
         found = done if found is None else found.unionByName(done)
         if last:
             return found
-        todo = todo.join(full, "point_id", "left_anti")
+        todo = store(todo.join(full, "point_id", "left_anti"))
         if not todo.limit(1).count():
             return found
         size *= 2

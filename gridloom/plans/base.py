@@ -69,7 +69,8 @@ def query(name: str, sql: str | None = None) -> Callable:
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql is not None:
             body = nudged(sql.strip())
-            ORACLES[name] = f"WITH {VIEWS.strip()}" + (f",\n{body[5:]}" if body[:5].upper() == "WITH " else f"\n{body}")
+            kind = "WITH RECURSIVE " if body.upper().startswith("WITH RECURSIVE ") else "WITH "
+            ORACLES[name] = f"{kind}{VIEWS.strip()}" + (f",\n{body[len(kind):]}" if body[:5].upper() == "WITH " else f"\n{body}")
         return f
 
     return add

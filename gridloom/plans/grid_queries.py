@@ -72,18 +72,21 @@ SELECT r AS "row", c AS col, v AS value, CAST(DENSE_RANK() OVER (ORDER BY label)
 """
 
 
-@query("g194_cluster")
+@query("g194_cluster", CLUSTER_SQL)
 def _(d: Tables):
     return C.cluster(d.cells, 27, 60, tile=16)
 
 
-@query("g196_polygonize")
+BOX = "format('POLYGON (({} {}, {} {}, {} {}, {} {}, {} {}))', MIN(c), 40 - MIN(r), MAX(c) + 1, 40 - MIN(r), MAX(c) + 1, 39 - MAX(r), MIN(c), 39 - MAX(r), MIN(c), 40 - MIN(r)) AS wkt"
+
+
+@query("g196_polygonize", f"SELECT CAST(MIN(r * 50 + c) AS BIGINT) AS \"label\", CAST(k + 1 AS DOUBLE) AS value, COUNT(*) AS cells, {BOX} FROM classes GROUP BY k")
 def _(d: Tables):
     x = d.classes.with_df(d.classes.df.withColumn("value", F.col("value") + 1))
     return C.outlines(C.regions(x, tile=16), x)
 
 
-@query("g198_footprint")
+@query("g198_footprint", f"SELECT CAST(MIN(r * 50 + c) AS BIGINT) AS \"label\", 2e0 AS value, COUNT(*) AS cells, {BOX} FROM classes WHERE k % 20 < 10 GROUP BY r // 8")
 def _(d: Tables):
     holed = d.classes.with_df(d.classes.df.withColumn("value", F.when(F.col("value") % 20 < 10, F.col("value"))))
     return C.footprint(holed, tile=16)

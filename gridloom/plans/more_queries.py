@@ -16,7 +16,7 @@ from ..operators.zonal import zonal_stats
 from ..sources import stac, tables
 from .base import GRID, Tables, query, rnd
 from .cf_queries import items, scratch
-from .grid_queries import ALIGN_JOIN, TARGET, two
+from .grid_queries import ALIGN_JOIN, MIRROR, TARGET, two
 from .raster_queries import IN_TRIANGLE, cell_rows, triangle
 
 ALL_CELLS = "SELECT r AS \"row\", c AS col, v AS value FROM cells"
@@ -206,9 +206,9 @@ def _(d: Tables):
     return V.in_box(d.points.withColumn("geom", F.struct(F.lit("Point").alias("type"), F.array(F.array(F.struct("x", "y"))).alias("parts"))), 24, -1e9, 26, 1e9).select("vec_id")
 
 
-@query("g331_focal_udaf")
+@query("g331_focal_udaf", MIRROR.format(r=1, n=3) + "SELECT CAST(1 AS INT) AS band, pos.r AS \"row\", pos.c AS col, ROUND(MEDIAN(v), 6) AS value FROM pos JOIN cells s ON s.r = nr AND s.c = nc GROUP BY pos.r, pos.c")
 def _(d: Tables):
-    return focal.focal_apply(d.cells, lambda w: np.nanmedian(w, axis=1), 1, tile=16).df
+    return focal.focal_apply(d.cells, lambda w: np.nanmedian(w, axis=1), 1, tile=16).df.select("band", "row", "col", rnd("value", 6).alias("value"))
 
 
 @query("g332_tile_udf", "SELECT r AS \"row\", c AS col, v * 2 AS value FROM cells")
@@ -216,11 +216,11 @@ def _(d: Tables):
     return cell_rows_plain(d.cells.map_blocks(lambda a: a * 2, 16))
 
 
-@query("g333_preprocess", "SELECT t, r AS \"row\", c AS col, v + 1 AS value FROM cube WHERE t < 2")
+@query("g333_preprocess", "SELECT t, r AS \"row\", c AS col, v + 1 AS value FROM cube")
 def _(d: Tables):
     to = scratch(d, "one")
-    tables.write_cube(d.cube.steps(0, 2), to)
-    return tables.read_cubes(d.spark, [to], 2, lambda c: c.unpack(1.0, 1.0)).df.select("t", "row", "col", "value")
+    tables.write_cube(d.cube, to)
+    return tables.read_cubes(d.spark, [to], d.cube._last() + 1, lambda c: c.unpack(1.0, 1.0)).df.select("t", "row", "col", "value")
 
 
 @query("g334_patched_href", "SELECT zid AS id, 's3://b/' || lower(name) || '.tif?token=1' AS href FROM zones")

@@ -329,9 +329,9 @@ for _name in ("g221_mesh_to_grid", "g222_interpolate_nearest", "g224_to_dataset"
     query(_name, GRID_SQL)(lambda d: d.mesh.to_grid(RasterMeta(10, 10, x0=-1.0, y0=6.0, dx=0.7, dy=0.7), with_values(d).time_step(0).values))
 
 
-@query("g223_interpolate_linear")
+@query("g223_interpolate_linear", "SELECT CAST(a.range AS INT) AS \"row\", CAST(b.range AS INT) AS col, ROUND(3 * (b.range + 0.5e0) * 0.625e0 + 2 * (5 - (a.range + 0.5e0) * 0.625e0), 6) AS value FROM range(8) a, range(8) b")
 def _(d: Tables):
     from ..operators.triangulate import linear_grid
 
     v = d.mesh.nodes.select("x", "y", (F.col("x") * 3 + F.col("y") * 2).alias("value"))
-    return linear_grid(v, RasterMeta(8, 8, x0=0.0, y0=5.0, dx=0.625, dy=0.625))
+    return linear_grid(v, RasterMeta(8, 8, x0=0.0, y0=5.0, dx=0.625, dy=0.625)).select("row", "col", rnd("value", 6).alias("value"))

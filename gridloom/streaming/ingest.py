@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.shared import shared_folder
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -24,8 +25,7 @@ def windowed_cells(events: DataFrame, width: str = "1 day", late: str = "2 days"
 def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """All that is there now, through the stream, as a table in memory (for results of bounded size, such as aggregates)."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
 

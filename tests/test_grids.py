@@ -11,7 +11,8 @@ from gridloom.functions import crs, geometry as G
 from gridloom.meta import RasterMeta
 from gridloom.operators import cluster, focal, resample
 from gridloom.operators.raster import Raster
-from gridloom.operators.triangulate import interpolate
+from gridloom.operators.neighbours import nearest
+from gridloom.operators.triangulate import interpolate, linear_grid
 from gridloom.operators.zonal import zonal_stats
 from gridloom.sources import geotiff
 
@@ -121,3 +122,49 @@ def test_linear_interpolation_is_exact_on_planes():
     at = rng.random((30, 2)) * 0.5 + 0.25
     got = interpolate(p, p @ [2.0, -3.0] + 1, at)
     assert np.allclose(got[~np.isnan(got)], (at @ [2.0, -3.0] + 1)[~np.isnan(got)]) and (~np.isnan(got)).mean() > 0.9
+
+
+def test_linear_grid_does_not_depend_on_tiles(spark):
+    at = lambda m: [(m.x0 + (c + 0.5) * m.dx, m.y0 - (r + 0.5) * m.dy) for r in range(m.rows) for c in range(m.cols)]
+    wide = RasterMeta(200, 200, x0=0.0, y0=200.0)
+    corners = spark.createDataFrame([(x, y, 2 * x - y) for x in (0.0, 200.0) for y in (0.0, 200.0)] + [(None, 1.0, 2.0)], "x double, y double, value double")
+    got = linear_grid(corners, wide).toPandas()
+    assert len(got) == 40_000 and np.allclose(got["value"], 2 * (got["col"] + 0.5) - (199.5 - got["row"]))
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.random((40, 2)) * [12, 60], rng.random((25, 2)) * 60])  # dense to the left, sparse to the right
+    v = rng.random(len(p))
+    m = RasterMeta(60, 60, x0=0.0, y0=60.0)
+    want = interpolate(p[np.lexsort((p[:, 1], p[:, 0]))], v[np.lexsort((p[:, 1], p[:, 0]))], np.array(at(m))).reshape(60, 60)
+    points = spark.createDataFrame([(float(x), float(y), float(z)) for (x, y), z in zip(p, v)], "x double, y double, value double")
+    for tile, margin in ((16, 2), (60, 16)):
+        out = np.full((60, 60), np.nan)
+        for r in linear_grid(points, m, tile, margin).collect():
+            out[r["row"], r["col"]] = r["value"]
+        assert np.allclose(out, want, atol=1e-6, equal_nan=True)
+    assert linear_grid(points.limit(2), m).count() == 0
+
+
+def test_nearest_within_more_than_a_cell(spark):
+    p = spark.createDataFrame([(1, 0.0, 0.0), (2, 50.0, 0.0)], "point_id long, x double, y double")
+    s = spark.createDataFrame([(7, 4.0, 0.0), (8, 0.0, -4.5), (9, 9.0, 0.0)], "elem_id int, x double, y double")
+    got = {(r["point_id"], r["elem_id"], r["distance"]) for r in nearest(p, s, 2, cell=1.0, within=5.0).collect()}
+    assert got == {(1, 7, 4.0), (1, 8, 4.5)}
+    assert [r["elem_id"] for r in nearest(p, s, 1, cell=1.0).orderBy("point_id").collect()] == [7, 9]
+
+
+def test_focal_radius_beyond_a_tile(spark):
+    ones = Raster.from_array(spark, np.ones((60, 60)), RasterMeta(60, 60, y0=60.0))
+    for tile in (4, 7, 60):
+        got = focal.focal_apply(ones, lambda w: np.nansum(w, axis=1), 10, tile).to_array()
+        assert got.shape == (60, 60) and (got == 441).all()
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from gridloom.sources.shared import shared_folder
+
+    cluster_session = N(conf=N(get=lambda k, d: None), sparkContext=N(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_folder(cluster_session)
+    assert shared_folder(N(conf=N(get=lambda k, d: "hdfs://x/y/"), sparkContext=None)) == "hdfs://x/y"
