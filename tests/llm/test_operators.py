@@ -677,8 +677,8 @@ def test_stretch_keys_depend_on_their_seeds_alone():
     rng = np.random.default_rng(3)
     seed, gap = rng.integers(-(2**62), 2**62, 60), rng.integers(1, 7, 60)
     pos, partner, ppos = np.cumsum(gap), rng.integers(0, 3, 60), rng.integers(0, 9, 60)
-    whole = {(a - pos[0], b - pos[0]): k for k, a, b in zip(*op9_chaining.stretches(seed, pos, partner, ppos, 20))}
-    some = op9_chaining.stretches(seed[9:], pos[9:] + 1000, partner[9:], ppos[9:], 20)
+    whole = {(a - pos[0], b - pos[0]): k for k, a, b in zip(*op9_chaining.stretches(seed, pos, partner, ppos, (20,))[0])}
+    some = op9_chaining.stretches(seed[9:], pos[9:] + 1000, partner[9:], ppos[9:], (20,))[0]
     assert len(some[0]) > 20 and all(whole[a - 1000 - pos[0], b - 1000 - pos[0]] == k for k, a, b in zip(*some)) and len(set(whole.values())) == len(whole)
 
 
