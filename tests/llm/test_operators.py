@@ -604,6 +604,20 @@ def test_passages_whose_seeds_have_several_first_documents(spark):
         assert (n - 1, n - 2, 30, 120) in got, (case, got)
 
 
+@pytest.mark.parametrize("holders", [1, 30])
+def test_fuzzy_passages_whose_seeds_are_held_before(spark, holders):
+    """Earlier documents hold parts of 15 words, too short to be passages; what the last two of each passage share has 9 words in a row at most."""
+    rnd, texts, late = random.Random(24), [], []
+    for _ in range(40):
+        p = own_words(rnd, 60)
+        texts += [own_words(rnd, 12) + p[k : k + 15] + own_words(rnd, 12) for k in range(0, 60, 15) for _ in range(holders)]
+        late += [own_words(rnd, 20 + r) + [w if i % 20 != 3 + 10 * r else f"edit{rnd.random()}" for i, w in enumerate(p)] + own_words(rnd, 20) for r in (0, 1)]
+    n = len(texts)
+    docs = table(spark, [(i, " ".join(t), "xx", "s") for i, t in enumerate(texts + late)])
+    got = {(r["doc_id"] - n, r["partner_id"] - n) for r in op9_chaining.shared_passages(docs).collect()}
+    assert all(i % 2 and j == i - 1 for i, j in got) and len(got) >= 38, got
+
+
 def test_long_fuzzy_ends_and_repeated_ids(spark):
     rnd = random.Random(22)
     passage = own_words(rnd, 900)
