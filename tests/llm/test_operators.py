@@ -4,9 +4,11 @@ import random
 import sys
 import zlib
 from collections import Counter
+from itertools import permutations
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -696,6 +698,122 @@ def test_stretch_keys_depend_on_their_seeds_alone():
     assert len(some[0]) > 20 and all(whole[a - 1000 - pos[0], b - 1000 - pos[0]] == k for k, a, b in zip(*some)) and len(set(whole.values())) == len(whole)
 
 
+def test_passages_do_not_depend_on_the_order_of_rows():
+    """Of two passages with one start and end in a document the one that holds the other stays, whichever comes first."""
+    names = [c.split()[0] for c in op9_chaining.FOUND.split(", ")]
+    rows = [(9, 4, 0, 88, 0, 86, 0.97), (9, 4, 0, 88, 0, 88, 0.98), (9, 4, 100, 160, 0, 60, 0.9), (9, 5, 0, 60, 3, 63, 1.0), (9, 4, 100, 160, 0, 60, 0.95)]
+    for order in permutations(rows):
+        batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in order]) for i in range(7)], names=names)
+        got = [tuple(r.values()) for b in op9_chaining._outermost(iter([batch])) for r in b.to_pylist()]
+        assert sorted(got) == [(9, 4, 0, 88, 0, 88, 0.98), (9, 4, 100, 160, 0, 60, 0.95), (9, 5, 0, 60, 3, 63, 1.0)], order
+
+
+def cut_up(rnd, columns, names):
+    """Sorted columns as batches of random sizes."""
+    at = 0
+    while at < len(columns[0]):
+        n = rnd.randint(0, 9)
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + n]) for c in columns], names=names)
+        at += n
+
+
+@pytest.mark.parametrize("held", [17, 4096])
+def test_links_of_keys_against_all_pairs(monkeypatch, held):
+    """Shared seeds, and what meets by its key, with the keys cut over batches and frequent ones given out in parts."""
+    monkeypatch.setattr(op9_chaining, "HELD", held)
+    rnd = random.Random(31)
+    for trial in range(30):
+        rows = sorted({(k, rnd.randint(1, 40), rnd.randint(0, 500)) for k in range(-4, 5) for _ in range(rnd.choice([1, 2, 5, 16, 17, 60]))})
+        rows += [(9, 7, p) for p in range(30)] + [(10, 7, p) for p in range(30)] + [(10, 8, 3)]  # of one document alone; of one, then another
+        groups = {k: [r[1:] for r in rows if r[0] == k] for k in {r[0] for r in rows}}
+        key, doc, pos = (np.array(c, np.int64) for c in zip(*rows))
+        want = sorted((d, p, k, *g[0], len(g) <= op9_chaining.FEW) for k, g in groups.items() for d, p in g if g[0][0] < g[-1][0])
+        got = [r for b in op9_chaining._shared(cut_up(rnd, (key, doc, pos), ["seed", "doc_id", "pos"])) for r in b.to_pylist()]
+        assert sorted((r["doc_id"], r["at"] >> 32, r["seed"], r["partner"], (r["at"] & 0xFFFFFFFF) >> 1, bool(r["at"] & 1)) for r in got) == want
+        last = pos + np.array([rnd.choice([0, 9, 40, 60]) for _ in rows])
+        run = np.array([rnd.choice([0, 0, 0, 5]) for _ in rows])  # 5: two links, three words apart, that are there already
+        partner = np.where(run > 0, 99, 0)
+        want, open_ = Counter(), {}
+        for k, d, p, e, r in zip(key, doc, pos, last, run):
+            if r:
+                want[d, 99, p, 0] += 1
+                want[d, 99, p + 2, 2] += 1
+            else:
+                open_.setdefault(k, []).append((d, p, e))
+        for g in open_.values():
+            for i, (d, p, e) in enumerate(g):
+                for f, q, t in g[:i] if len(g) <= op9_chaining.FEW else g[:1]:
+                    if f < d:
+                        want.update({(d, f, p, q), (d, f, e, t)})
+        place = np.where(run > 0, pos << 32, pos << 32 | last)
+        got = [r for b in op9_chaining._met(cut_up(rnd, (key, doc, place, partner, run), ["key", "doc_id", "place", "partner", "run"]), 40) for r in b.to_pylist()]
+        assert Counter((r["doc_id"], r["partner"], (r["place"] >> 32) + i, (r["place"] & 0xFFFFFFFF) + i) for r in got for i in range(53) if r["run"] >> i & 1) == want
+
+
+def test_runs_of_links_and_seeds_of_many_texts():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        n = int(rng.integers(1, 200))
+        doc = np.sort(rng.integers(0, 3, n))
+        x = np.cumsum(rng.integers(1, 9, n) + 50 * (rng.random(n) < 0.05))
+        partner, y = doc * 0 + np.repeat(rng.integers(0, 2, n), 40)[:n], x - np.repeat(rng.integers(0, 2, n), 50)[:n]
+        start, run = op9_chaining.runs(doc, partner, x, y, 40)
+        links = [(doc[s], partner[s], x[s] + i, y[s] + i) for s, m in zip(start, run.tolist()) for i in range(m.bit_length()) if m >> i & 1]
+        assert links == [*zip(doc, partner, x, y)] and all("0" * 40 not in bin(m) and m < 2**53 for m in run.tolist())
+        texts = [rng.integers(0, 2**63, int(rng.choice([0, 1, 4, 5, 11, 12, 13, 60]))).astype(np.uint64) for _ in range(12)]
+        seed, pos, of = op9_chaining.minimizers_of(np.concatenate(texts), np.array([len(t) for t in texts]), 5, 8)
+        assert sorted(zip(of, pos, seed)) == [(i, p, s) for i, t in enumerate(texts) for s, p in zip(*op9_chaining.minimizers(t, 5, 8))]
+
+
+def test_word_codes_tell_words_apart(monkeypatch):
+    """Like lower() and split(), whatever the words, texts and blocks."""
+    rnd = random.Random(12)
+    for block in (1, 7, 1 << 16):
+        monkeypatch.setattr(op9_chaining, "BLOCK", block)
+        texts = [b"", b" ", b"Ab", b"\x00 a\x00 \x00a aa a", *(bytes(rnd.choice(b"aAbB \t\n\r\x0b\x0c\x1c\x85\xc3\x84") for _ in range(rnd.choice([3, 40, 300]))) for _ in range(60))]
+        hashes, counts = op9_chaining.word_codes(texts)
+        words = [t.lower().split() for t in texts]
+        assert counts.tolist() == [len(w) for w in words]
+        pairs = {*zip((w for ws in words for w in ws), hashes.tolist())}
+        assert len(hashes) == sum(counts) and len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs}) > 300
+
+
+def test_inner_passages_against_all_parts():
+    rnd = random.Random(14)
+    for _ in range(60):
+        a = [rnd.randrange(400) for _ in range(150)]
+        b = [w if i in range(20, 50) or i in range(80, 120) or rnd.random() < 0.3 else rnd.randrange(400) for i, w in enumerate(a)]
+        a, b = np.array(a, np.uint32), np.array(b, np.uint32)
+        x, y = (z.tolist() for z in op9_chaining.common_places(a, b))
+        want, todo = [], [(0, len(x))]
+        while todo:
+            lo, hi = todo.pop()
+            best = (0, 0, 0)
+            for u in range(lo, hi):
+                if x[hi - 1] - x[u] < best[0]:
+                    break  # nothing longer begins here
+                best = max([best, *((x[v] - x[u] + 1, u, v + 1) for v in range(u, hi) if min(x[v] - x[u], y[v] - y[u]) >= 19 and v - u + 1 >= 0.85 * (max(x[v] - x[u], y[v] - y[u]) + 1))])
+            if best[0]:
+                _, u, v = best
+                want.append((x[u], x[v - 1] + 1, y[u], y[v - 1] + 1))
+                todo += [(lo, u), (v, hi)]
+        assert [g[:4] for g in op9_chaining.inner_passages(a, b, 20, 0.85)] == want and want
+
+
+def test_extension_against_every_length():
+    rnd = random.Random(6)
+    for _ in range(300):
+        same = np.array([rnd.random() < 0.8 for _ in range(rnd.choice([0, 1, 20, 600]))], bool)
+        best = total = length = 0
+        for i, equal in enumerate(same):
+            total += 1 if equal else -2
+            if total > best:
+                best, length = total, i + 1
+            if best - total >= 12:
+                break
+        assert op9_chaining.extension(same) == length
+
+
 def test_chains_against_all_chains():
     rnd = random.Random(8)
     for _ in range(200):
